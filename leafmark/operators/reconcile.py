@@ -10,9 +10,6 @@ from leafmark.operators.tree import serialize, subtrees
 from leafmark.operators.validate import collect_matches, judge
 from leafmark.session import stage
 
-_PAGE = Window.partitionBy("page_id")
-
-
 # Counts and flags ---------------------------------------------------------------------------
 
 def count_median(results: DataFrame) -> DataFrame:
@@ -25,15 +22,16 @@ def with_reference(results: DataFrame, preference: list[str] = REFERENCE_PREFERE
     The reference is the highest count that is at most twice the median (any, if the median
     is 0), and the preferred field that has it.
     """
-    median = F.median("match_count").over(_PAGE)
+    page = Window.partitionBy("page_id")
+    median = F.median("match_count").over(page)
     rows = results.withColumn("median_count", median)
     sane = (F.col("match_count") <= 2 * F.col("median_count")) | (F.col("median_count") == 0)
-    rows = rows.withColumn("reference_count", F.max(F.when(sane, F.col("match_count"))).over(_PAGE))
+    rows = rows.withColumn("reference_count", F.max(F.when(sane, F.col("match_count"))).over(page))
     holder = F.when(
         F.col("match_count") == F.col("reference_count"),
         F.struct(position_of(F.col("field"), preference).alias("p"), F.col("field").alias("f")),
     )
-    return rows.withColumn("reference_field", F.min(holder).over(_PAGE)["f"])
+    return rows.withColumn("reference_field", F.min(holder).over(page)["f"])
 
 
 def reference_count(results: DataFrame) -> DataFrame:
