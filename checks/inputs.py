@@ -62,7 +62,7 @@ def page_values(spark: SparkSession, sf: str) -> DataFrame:
 def page_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """Three selector attempts per page and field: wrong, broken, missing and right ones."""
     h1 = page_values(spark, sf).filter("field = 'last_post_author'").select(
-        "page_id", F.concat(F.lit("//*[text()='"), F.upper("value"), F.lit("']")).alias("spelled")
+        "page_id", F.concat(F.lit("//*[text()='"), F.lower("value"), F.lit("']")).alias("spelled")
     )
     rounds = {
         "title": [F.lit("//table//td/a"), F.lit("//html/@lang"), F.lit("//nav//li/a")],

@@ -318,7 +318,7 @@ def match_count(spark, sf):
 
 def reject_hardcoded(spark, sf):
     v = I.page_values(spark, sf)
-    xpath = F.concat(F.lit("//*[.='"), F.upper("value"), F.lit("']"))
+    xpath = F.concat(F.lit("//*[.='"), F.lower("value"), F.lit("']"))
     return v.select("page_id", "field", validate.reject_hardcoded(xpath, F.col("value")).alias("hardcoded"))
 
 
@@ -349,11 +349,6 @@ def flag_broad(spark, sf):
     return counts.select("page_id", "field", validate.flag_broad(F.col("match_count")).alias("is_broad"))
 
 
-def _list_candidates(spark, sf):
-    run = I.list_run(spark, sf)
-    return run.attempts
-
-
 def induce_selectors(spark, sf):
     return induce.induce_selectors(I.list_nodes(spark, sf), I.list_run(spark, sf).ie_values).filter("iteration = 1").select(
         "page_id", "field", "xpath", "is_correct", "match_count"
@@ -362,7 +357,7 @@ def induce_selectors(spark, sf):
 
 def site_selectors(spark, sf):
     run = I.list_run(spark, sf)
-    best = induce.site_selectors(I.list_pages(spark, sf), run.attempts)
+    best = induce.site_selectors(I.list_pages(spark, sf), run.judged)
     return best.filter("iteration = 1").select("domain", "field", "xpath", F.round("share", 6).alias("share"))
 
 

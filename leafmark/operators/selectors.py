@@ -63,11 +63,15 @@ def _class_test(cond: Column) -> Column:
     )
 
 
-def _step_pattern(step: Column) -> Column:
+def _step_pattern(step: Column, i: Column) -> Column:
     tag = F.regexp_extract(step, r"^//?([^\[]+)", 1)
     class_tests = F.filter(_conditions(step), lambda c: c["attr"] == "class")
+    # A first `//` may start at any step of the trail, so that pattern is left unanchored.
+    lead = F.when(step.startswith("//"), F.when(i == 0, "").otherwise("(?:/[^/]*)*")).otherwise(
+        F.when(i == 0, "^").otherwise("")
+    )
     return F.concat(
-        F.when(step.startswith("//"), "(?:/[^/]*)*").otherwise(""),
+        lead,
         F.lit("/"),
         F.when(tag == "*", "[^/|]*").otherwise(F.replace(tag, F.lit("."), F.lit("\\."))),
         F.lit("\\|"),
@@ -79,44 +83,55 @@ def _step_pattern(step: Column) -> Column:
 def compile_selectors(df: DataFrame, column: str = "xpath") -> DataFrame:
     """Add the COMPILED columns; `problem` is null when the selector can be evaluated.
 
-    `pattern` matches the trail of selected elements, `leaf` is their tag, `terminal` what
-    is read from them ("", "text()" or "@name"), `whole` marks string(...), and `conds`
-    tests attributes of the element itself.
+    `pattern` is found in the trail of selected elements, `leaf` is their tag, `terminal`
+    what is read from them ("", "text()" or "@name"), `whole` marks string(...), and
+    `conds` tests attributes of the element itself. The columns come out of a generator so
+    that filters on them are not rewritten in terms of the long expressions.
     """
+    kept = df.columns
     text = strip(F.col(column))
     whole = text.rlike(r"^string\(.*\)\z")
-    df = df.withColumn("_path", F.when(whole, F.regexp_extract(text, r"^string\(\s*(.*?)\s*\)\z", 1)).otherwise(text))
     reading = r"(//?)(@[\w:\-]+|text\(\))\z"
-    body = F.regexp_replace("_path", reading, "")
-    df = df.withColumns({
-        "_steps": F.regexp_extract_all(body, F.lit(_STEP), F.lit(0)),
+    df = df.withColumn(
+        "_path", F.when(whole, F.regexp_extract(text, r"^string\(\s*(.*?)\s*\)\z", 1)).otherwise(text)
+    ).withColumns({
+        "_steps": F.regexp_extract_all(F.regexp_replace("_path", reading, ""), F.lit(_STEP), F.lit(0)),
         "_last": F.regexp_extract("_path", reading, 2),
         "_below": F.regexp_extract("_path", reading, 1) == "//",
     })
     # `//a//@href` also reads elements below a: the leaf step is then any element.
-    inner = F.when(F.col("_below"), F.col("_steps")).otherwise(F.slice("_steps", 1, F.greatest(F.size("_steps") - 1, F.lit(0))))
-    leaf_step = F.when(F.col("_below"), F.lit("//*")).otherwise(F.try_element_at("_steps", F.lit(-1)))
-    other = lambda c: c["attr"] != "class"
+    last_step = F.try_element_at("_steps", F.lit(-1))
     df = df.withColumns({
-        "whole": whole,
-        "terminal": F.col("_last"),
-        "leaf": F.regexp_extract(leaf_step, r"^//?([^\[]+)", 1),
-        "conds": F.filter(_conditions(leaf_step), other),
-        "pattern": F.concat(
-            F.lit("^"), F.array_join(F.transform("_steps", _step_pattern), ""),
-            F.when(F.col("_below"), "(?:/[^/]*)*").otherwise(""), F.lit("\\z"),
+        "_inner": F.when(F.col("_below"), F.col("_steps")).otherwise(
+            F.slice("_steps", 1, F.greatest(F.size("_steps") - 1, F.lit(0)))
         ),
-        "_far": F.exists(inner, lambda s: F.exists(_conditions(s), other)),
-    })
+        "_leaf": F.when(F.col("_below"), F.lit("//*")).otherwise(last_step),
+    }).withColumn("_conds", F.filter(_conditions(F.col("_leaf")), _not_class))
+    far = F.exists("_inner", lambda s: F.exists(_conditions(s), _not_class))
     problem = (
         F.when(F.col(column).isNull() | (text == ""), "Invalid expression")
         .when(~F.col("_path").rlike(f"^{_PATH}\\z"), F.concat(F.lit("Invalid expression: "), text))
         .when(
-            F.col("_far") | ((F.col("_last") == "text()") & (F.size("conds") > 0)),
+            far | ((F.col("_last") == "text()") & (F.size("_conds") > 0)),
             F.concat(F.lit("Unsupported predicate: "), text),
         )
     )
-    return df.withColumn("problem", problem).drop("_path", "_steps", "_last", "_below", "_far")
+    pattern = F.concat(
+        F.array_join(F.transform("_steps", _step_pattern), ""),
+        F.when(F.col("_below"), "(?:/[^/]*)*").otherwise(""), F.lit("\\z"),
+    )
+    return df.select(*kept, F.inline(F.array(F.struct(
+        pattern.alias("pattern"),
+        F.regexp_extract("_leaf", r"^//?([^\[]+)", 1).alias("leaf"),
+        F.col("_last").alias("terminal"),
+        F.coalesce(whole, F.lit(False)).alias("whole"),
+        F.col("_conds").alias("conds"),
+        problem.alias("problem"),
+    ))))
+
+
+def _not_class(cond: Column) -> Column:
+    return cond["attr"] != "class"
 
 
 def check_syntax(selectors: DataFrame) -> DataFrame:
@@ -218,12 +233,12 @@ def eval_selector(nodes: DataFrame, xpath: str) -> DataFrame:
 
 
 def eval_selector_table(nodes: DataFrame, selectors: DataFrame, values: bool = True) -> DataFrame:
-    """Run each page's own selectors: (page_id, xpath, node_id[, value]).
+    """Run each page's own selectors: (page_id, xpath, node_id, anc, kind[, value]).
 
     ``selectors`` (page_id, xpath) may hold any number of pages with a few selectors each;
-    equal selectors of a page are run once, broken ones give nothing. Nodes meet their
-    page's selectors in one equi-join whose residual tests kind, tag and trail in that
-    order; a page with very many nodes is split by the adaptive skew join.
+    equal selectors of a page are run once, broken ones give nothing. Selectors meet their
+    page's nodes in one equi-join whose residual tests kind, tag and trail in that order;
+    a page with very many nodes is split by the adaptive skew join.
     """
     compiled = (
         compile_selectors(selectors.select("page_id", "xpath").filter(F.col("xpath").isNotNull()).distinct())
@@ -234,17 +249,15 @@ def eval_selector_table(nodes: DataFrame, selectors: DataFrame, values: bool = T
     )
     reads_text = F.col("terminal") == "text()"
     name = F.substring("terminal", 2, 1 << 20)
-    found = (
-        F.when(F.col("kind") == "text", reads_text)
-        .otherwise(
-            ~reads_text
-            & ((F.col("leaf") == "*") | (F.col("leaf") == F.col("tag")))
-            & ((F.col("terminal") == "") | F.map_contains_key("attrs", name))
-        )
-        & F.expr("trail rlike pattern")
-        & _holds(F.col("conds"), F.col("attrs"))
+    of_kind = F.when(F.col("kind") == "text", reads_text).otherwise(
+        ~reads_text & ((F.col("leaf") == "*") | (F.col("leaf") == F.col("tag")))
     )
-    matches = base.join(compiled, "page_id").filter(found)
+    # regexp_instr keeps its compiled pattern while the pattern stays the same, which it
+    # does along the nodes of a page: the selectors are the streamed side of the join.
+    on_trail = F.regexp_instr("trail", F.col("pattern")) > 0
+    has = (F.col("terminal") == "") | reads_text | F.map_contains_key("attrs", name)
+    holds = (F.size("conds") == 0) | _holds(F.col("conds"), F.col("attrs"))
+    matches = compiled.join(base, "page_id").filter(of_kind & on_trail & has & holds)
     if not values:
         out = matches.select("page_id", "xpath", "node_id", "anc", "kind", "whole")
         return _first_only(out, ["page_id", "xpath"])

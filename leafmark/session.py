@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Patterns and similarity cost far more per byte than Spark assumes when it merges small
+    # shuffle partitions; keep the cores busy.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Whole pages travel to the Python tokenizer; few rows per batch bound the worker's memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     # A table hashed by page_id also serves joins and windows on (page_id, ...): one
