@@ -34,8 +34,8 @@ def _keeps(structural: list[str]) -> Column:
 def mark_survivors(nodes: DataFrame, structural: list[str] = STRUCTURAL_TAGS) -> DataFrame:
     """Add `stays` to every element and text row of blocked-free ``nodes``.
 
-    Elements: see above. Text stays, except blank text after a removed node with only
-    blank text up to the next surviving sibling.
+    Elements: see above. Text stays with its parent, except blank text after a removed node
+    with only blank text up to the next surviving sibling.
     """
     backwards = Window.partitionBy("page_id").orderBy(F.desc("node_id"))
     siblings = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
@@ -45,10 +45,15 @@ def mark_survivors(nodes: DataFrame, structural: list[str] = STRUCTURAL_TAGS) ->
         "_el_stays", is_el & (F.coalesce(upcoming <= F.col("last_id"), F.lit(False)) | (F.col("depth") == 1))
     ).withColumn("_owner", F.max(F.when(F.col("_el_stays"), F.col("node_id"))).over(siblings))
     run = Window.partitionBy("page_id", "parent_id", "_owner").orderBy(F.desc("node_id"))
-    text_ahead = F.max((F.col("kind") == "text") & ~is_blank(F.col("text"))).over(run)
+    has_text = (F.col("kind") == "text") & ~is_blank(F.col("text"))
+    text_ahead = F.max(has_text).over(run)
     beside = F.col("prev_id").isNull() | F.coalesce(F.col("prev_id") == F.col("_owner"), F.lit(False))
+    parent_stays = (
+        F.col("trail").rlike(f"/(?:{'|'.join(structural)})\\|[^/]*\\z")
+        | F.max(F.col("_el_stays") | has_text).over(Window.partitionBy("page_id", "parent_id"))
+    )
     return marked.withColumn(
-        "stays", F.when(is_el, F.col("_el_stays")).otherwise(beside | text_ahead)
+        "stays", F.when(is_el, F.col("_el_stays")).otherwise((beside | text_ahead) & parent_stays)
     ).drop("_el_stays")
 
 
