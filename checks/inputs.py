@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from leafmark.functions.text import strip
 from leafmark.operators.selectors import eval_selectors
 from leafmark.operators.validate import classify_feedback, run_attempts, select_best
+from leafmark.plans.full_run import run_all_stages
 from leafmark.session import stage, tune
-from leafmark.sources.html_tree import shred_html
+from leafmark.sources.html_tree import write_nodes
 from leafmark.sources.pages import scan_pages
 
 # Where the four fields stand on the given pages.
@@ -20,15 +21,19 @@ PAGE_SELECTORS = {
 }
 ORDERS_PER_LIST = 12
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple[str, str, str], object] = {}
 
 
 def written(spark: SparkSession, sf: str, name: str, make) -> DataFrame:
     """A derived table, written once per application and data set and scanned afterwards."""
+    return _once(spark, sf, name, lambda: stage(make(), name))
+
+
+def _once(spark, sf, name, make):
     tune(spark)
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _written:
-        _written[key] = stage(make(), name)
+        _written[key] = make()
     return _written[key]
 
 
@@ -45,7 +50,7 @@ def language(url="url"):
 
 
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return written(spark, sf, "page-nodes", lambda: shred_html(pages(spark, sf)))
+    return _once(spark, sf, "page-nodes", lambda: write_nodes(pages(spark, sf)))
 
 
 def page_matches(spark: SparkSession, sf: str) -> DataFrame:
@@ -153,7 +158,7 @@ def list_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return written(spark, sf, "list-nodes", lambda: shred_html(list_pages(spark, sf)))
+    return _once(spark, sf, "list-nodes", lambda: write_nodes(list_pages(spark, sf)))
 
 
 def list_selectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,9 +208,4 @@ def list_revisions(spark: SparkSession, sf: str) -> DataFrame:
 
 def list_run(spark: SparkSession, sf: str):
     """One whole run over the order lists, shared by the queries that show its tables."""
-    from leafmark.plans.full_run import run_all_stages
-
-    key = (spark.sparkContext.applicationId, sf, "list-run")
-    if key not in _written:
-        _written[key] = run_all_stages(list_pages(spark, sf))
-    return _written[key]
+    return _once(spark, sf, "list-run", lambda: run_all_stages(list_pages(spark, sf)))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from leafmark.model import NODES_DDL
-from leafmark.session import tune
+from leafmark.session import stage_by_page, tune
 
 # HTML's elements without content, raw-text elements, and which open element a
 # start tag ends.
@@ -269,15 +269,25 @@ def _to_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rows)
 
 
+def _splits(pages: DataFrame) -> int:
+    """Number of tasks for pages: that of the source, but no fewer than there are cores."""
+    return max(pages.rdd.getNumPartitions(), pages.sparkSession.sparkContext.defaultParallelism)
+
+
 def shred_html(pages: DataFrame) -> DataFrame:
     """Node table of usable pages (page_id, html): each page is read where it lies.
 
     Nothing is shuffled, unless the source has fewer splits than the cluster has cores
     (one big file, say), which would leave the tokenizer on a few of them.
     """
-    spark = tune(pages.sparkSession)
+    tune(pages.sparkSession)
     pages = pages.select("page_id", "html")
-    cores = spark.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < cores:
-        pages = pages.repartition(cores)
+    if pages.rdd.getNumPartitions() < _splits(pages):
+        pages = pages.repartition(_splits(pages))
     return pages.mapInArrow(_to_batches, NODES_DDL)
+
+
+def write_nodes(pages: DataFrame) -> DataFrame:
+    """The node table, written once for all later steps: bucketed by page, one bucket per
+    split of the source, so buckets stay as small as the splits however large the data."""
+    return stage_by_page(shred_html(pages), "nodes", _splits(pages.select("page_id", "html")))
