@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leafmark.model import FIELDS, MAX_REVISIONS, REFERENCE_PREFERENCE, position_of
-from leafmark.operators.selectors import element_selector, eval_selector_table
+from leafmark.operators.selectors import element_selector, match_rows
 from leafmark.operators.tree import serialize, subtrees
 from leafmark.operators.validate import collect_matches, judge
 from leafmark.session import stage
@@ -153,7 +153,7 @@ def evidence_numbers(flagged: DataFrame, fields: list[str] = FIELDS) -> DataFram
 def _element_matches(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Element matches of (page_id, xpath) pairs: adds node_id, anc and value."""
     elements = wanted.select("page_id", "xpath", element_selector(F.col("xpath")).alias("element_xpath"))
-    found = eval_selector_table(nodes, elements.select("page_id", F.col("element_xpath").alias("xpath")))
+    found = match_rows(nodes, elements.select("page_id", F.col("element_xpath").alias("xpath"))).drop("whole")
     return elements.distinct().join(found.withColumnRenamed("xpath", "element_xpath"), ["page_id", "element_xpath"])
 
 

@@ -80,16 +80,26 @@ def _step_pattern(step: Column, i: Column) -> Column:
     )
 
 
-def compile_selectors(df: DataFrame, column: str = "xpath") -> DataFrame:
-    """Add the COMPILED columns; `problem` is null when the selector can be evaluated.
+def compile_selectors(df: DataFrame) -> DataFrame:
+    """Add the COMPILED columns to rows with an `xpath`; `problem` is null when it can be
+    evaluated.
 
     `pattern` is found in the trail of selected elements, `leaf` is their tag, `terminal`
     what is read from them ("", "text()" or "@name"), `whole` marks string(...), and
-    `conds` tests attributes of the element itself. The columns come out of a generator so
-    that filters on them are not rewritten in terms of the long expressions.
+    `conds` tests attributes of the element itself. Pages of one make share selectors, so
+    each distinct one is compiled once and joined back: broadcast if few, else by a join
+    whose one row per selector lets the adaptive skew join split a common one.
     """
-    kept = df.columns
-    text = strip(F.col(column))
+    compiled = _compile(df.select("xpath").filter(F.col("xpath").isNotNull()).distinct())
+    return df.join(compiled, "xpath", "left").withColumn(
+        "problem", F.when(F.col("xpath").isNull(), "Invalid expression").otherwise(F.col("problem"))
+    ).select(*df.columns, *COMPILED)
+
+
+def _compile(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns come out of a generator so that filters on them are not rewritten in
+    terms of the long expressions."""
+    text = strip(F.col("xpath"))
     whole = text.rlike(r"^string\(.*\)\z")
     reading = r"(//?)(@[\w:\-]+|text\(\))\z"
     df = df.withColumn(
@@ -109,7 +119,7 @@ def compile_selectors(df: DataFrame, column: str = "xpath") -> DataFrame:
     }).withColumn("_conds", F.filter(_conditions(F.col("_leaf")), _not_class))
     far = F.exists("_inner", lambda s: F.exists(_conditions(s), _not_class))
     problem = (
-        F.when(F.col(column).isNull() | (text == ""), "Invalid expression")
+        F.when(text == "", "Invalid expression")
         .when(~F.col("_path").rlike(f"^{_PATH}\\z"), F.concat(F.lit("Invalid expression: "), text))
         .when(
             far | ((F.col("_last") == "text()") & (F.size("_conds") > 0)),
@@ -120,7 +130,7 @@ def compile_selectors(df: DataFrame, column: str = "xpath") -> DataFrame:
         F.array_join(F.transform("_steps", _step_pattern), ""),
         F.when(F.col("_below"), "(?:/[^/]*)*").otherwise(""), F.lit("\\z"),
     )
-    return df.select(*kept, F.inline(F.array(F.struct(
+    return df.select(*keep, "xpath", F.inline(F.array(F.struct(
         pattern.alias("pattern"),
         F.regexp_extract("_leaf", r"^//?([^\[]+)", 1).alias("leaf"),
         F.col("_last").alias("terminal"),
@@ -166,9 +176,8 @@ def eval_selectors(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
     a match is shuffled.
     """
     spark = nodes.sparkSession
-    compiled = compile_selectors(
-        spark.createDataFrame(list(selectors.items()), "field STRING, xpath STRING")
-    ).collect()     # one row per selector written by the caller
+    named = [(f, x) for f, x in selectors.items()]
+    compiled = _compile(spark.createDataFrame(named, "field STRING, xpath STRING"), "field").collect()     # one row per selector written by the caller
     bad = [r for r in compiled if r["problem"]]
     if bad:
         raise ValueError("; ".join(r["problem"] for r in bad))
@@ -232,16 +241,17 @@ def eval_selector(nodes: DataFrame, xpath: str) -> DataFrame:
     return eval_selectors(nodes, {"_": xpath}).drop("field")
 
 
-def eval_selector_table(nodes: DataFrame, selectors: DataFrame, values: bool = True) -> DataFrame:
-    """Run each page's own selectors: (page_id, xpath, node_id, anc, kind[, value]).
+def match_rows(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Run each page's own selectors: (page_id, xpath, node_id, anc, value, whole).
 
     ``selectors`` (page_id, xpath) may hold any number of pages with a few selectors each;
     equal selectors of a page are run once, broken ones give nothing. Selectors meet their
     page's nodes in one equi-join whose residual tests kind, tag and trail in that order;
-    a page with very many nodes is split by the adaptive skew join.
+    a page with very many nodes is split by the adaptive skew join. Of `whole` selectors
+    only the first match counts; that is left to the caller.
     """
     compiled = (
-        compile_selectors(selectors.select("page_id", "xpath").filter(F.col("xpath").isNotNull()).distinct())
+        compile_selectors(selectors.select("page_id", "xpath").distinct())
         .filter(F.col("problem").isNull()).drop("problem")
     )
     base = nodes.filter(F.col("kind").isin("el", "text")).select(
@@ -258,20 +268,20 @@ def eval_selector_table(nodes: DataFrame, selectors: DataFrame, values: bool = T
     has = (F.col("terminal") == "") | reads_text | F.map_contains_key("attrs", name)
     holds = (F.size("conds") == 0) | _holds(F.col("conds"), F.col("attrs"))
     matches = compiled.join(base, "page_id").filter(of_kind & on_trail & has & holds)
-    if not values:
-        out = matches.select("page_id", "xpath", "node_id", "anc", "kind", "whole")
-        return _first_only(out, ["page_id", "xpath"])
     matches = matches.select(
-        "page_id", "xpath", "node_id", "anc", "kind", "whole", "text_from", "text_to",
+        "page_id", "xpath", "node_id", "anc", "whole", "text_from", "text_to",
         F.when(reads_text, F.col("text")).when(F.col("terminal") != "", F.col("attrs")[name]).alias("direct"),
     )
-    matches = text_content(_first_only(matches, ["page_id", "xpath"]), nodes)
-    return matches.select(
-        "page_id", "xpath", "node_id", "anc", "kind",
-        F.coalesce(strip(F.col("direct")), F.col("value")).alias("value"),
+    return text_content(matches, nodes).select(
+        "page_id", "xpath", "node_id", "anc", "whole", F.coalesce(strip(F.col("direct")), F.col("value")).alias("value")
     )
 
 
+def eval_selector_table(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Matches of each page's own selectors: (page_id, xpath, node_id, anc, value)."""
+    return _first_only(match_rows(nodes, selectors), ["page_id", "xpath"])
+
+
 def eval_selector_literal(xml: DataFrame, xpath: str) -> DataFrame:
     """Any XPath 1.0 literal with Spark's own functions on ``page_xml`` output.
 

@@ -9,7 +9,7 @@ from pyspark.sql.types import BooleanType
 from leafmark.functions.similarity import best_window_reaches
 from leafmark.functions.text import plural, strip
 from leafmark.model import BROAD_MATCHES, HARDCODED_MIN_CHARS, MAX_ROUNDS
-from leafmark.operators.selectors import check_syntax, eval_selector_table
+from leafmark.operators.selectors import check_syntax, match_rows
 
 INVALID_ANSWER = "Invalid JSON response"
 
@@ -61,10 +61,12 @@ def flag_broad(match_count: Column) -> Column:
 
 def collect_matches(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     """(page_id, xpath, match_count, matched_values) in document order, matches only."""
-    found = eval_selector_table(nodes, selectors)
-    ordered = F.array_sort(F.collect_list(F.struct("node_id", "value")))
-    return found.groupBy("page_id", "xpath").agg(
-        F.count("*").cast("int").alias("match_count"),
+    found = match_rows(nodes, selectors).groupBy("page_id", "xpath").agg(
+        F.array_sort(F.collect_list(F.struct("node_id", "value"))).alias("_m"), F.first("whole").alias("_whole")
+    )
+    ordered = F.when(F.col("_whole"), F.slice("_m", 1, 1)).otherwise(F.col("_m"))
+    return found.select(
+        "page_id", "xpath", F.size(ordered).alias("match_count"),
         F.transform(ordered, lambda m: m["value"]).alias("matched_values"),
     )
 
