@@ -150,24 +150,24 @@ def evidence_numbers(flagged: DataFrame, fields: list[str] = FIELDS) -> DataFram
     )
 
 
-def _element_matches(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Element matches of (page_id, xpath) pairs: adds node_id, anc and value."""
+def _element_matches(nodes: DataFrame, wanted: DataFrame, values: bool) -> DataFrame:
+    """Element matches of (page_id, xpath) pairs: adds node_id, anc and, if asked, value."""
     elements = wanted.select("page_id", "xpath", element_selector(F.col("xpath")).alias("element_xpath"))
-    found = match_rows(nodes, elements.select("page_id", F.col("element_xpath").alias("xpath"))).drop("whole")
+    found = match_rows(nodes, elements.select("page_id", F.col("element_xpath").alias("xpath")), values).drop("whole")
     return elements.distinct().join(found.withColumnRenamed("xpath", "element_xpath"), ["page_id", "element_xpath"])
 
 
-def flagged_rows(nodes: DataFrame, flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+def flagged_rows(nodes: DataFrame, flagged: DataFrame, values: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows, matches) of every flagged field: rows of its page's reference selector, and
     the elements the field's own selector finds, both keyed by (page_id, field)."""
     work = flagged.filter(F.col("flag").isin("broad", "few")).select("page_id", "field", "xpath")
     reference = flagged.filter(F.col("field") == F.col("reference_field")).select("page_id", "xpath")
     reference = reference.join(work.select("page_id"), "page_id", "left_semi")
     both = work.select("page_id", "xpath").unionByName(reference).distinct()
-    found = stage(_element_matches(nodes, both), "row-matches")
+    found = stage(_element_matches(nodes, both, values), "row-matches")
     containers = row_containers(reference.join(found, ["page_id", "xpath"]))
     rows = work.select("page_id", "field").join(containers, "page_id")
-    return rows, work.join(found, ["page_id", "xpath"]).select("page_id", "field", "node_id", "anc", "value")
+    return rows, work.join(found, ["page_id", "xpath"]).drop("xpath", "element_xpath")
 
 
 def discrepancy_evidence(nodes: DataFrame, flagged: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
@@ -275,8 +275,11 @@ def _one_pass(nodes: DataFrame, flagged: DataFrame, revisions: DataFrame, flag:
     """Outcomes for the fields with ``flag`` that have rows to learn from."""
     keys = ["page_id", "field"]
     here = flagged.withColumn("flag", F.when(F.col("flag") == flag, F.col("flag")))
-    rows, matches = flagged_rows(nodes, here)
-    shown = overmatched_row(rows, matches, keys) if flag == "broad" else problem_rows(rows, matches, keys)
+    rows, matches = flagged_rows(nodes, here, values=False)
+    if flag == "broad":
+        shown = matches_in_rows(rows, matches, keys).groupBy(*keys, "row_id").count().filter("count > 1")
+    else:
+        shown = problem_rows(rows, matches, keys)
     shown = stage(shown.select(*keys).distinct(), f"{flag}-fields")
     able = here.filter(F.col("flag") == flag).join(shown, keys, "left_semi")
     return accept_revision(try_revisions(nodes, able, revisions))

@@ -241,8 +241,8 @@ def eval_selector(nodes: DataFrame, xpath: str) -> DataFrame:
     return eval_selectors(nodes, {"_": xpath}).drop("field")
 
 
-def match_rows(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Run each page's own selectors: (page_id, xpath, node_id, anc, value, whole).
+def match_rows(nodes: DataFrame, selectors: DataFrame, values: bool = True) -> DataFrame:
+    """Run each page's own selectors: (page_id, xpath, node_id, anc, whole[, value]).
 
     ``selectors`` (page_id, xpath) may hold any number of pages with a few selectors each;
     equal selectors of a page are run once, broken ones give nothing. Selectors meet their
@@ -268,6 +268,8 @@ def match_rows(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     has = (F.col("terminal") == "") | reads_text | F.map_contains_key("attrs", name)
     holds = (F.size("conds") == 0) | _holds(F.col("conds"), F.col("attrs"))
     matches = compiled.join(base, "page_id").filter(of_kind & on_trail & has & holds)
+    if not values:
+        return matches.select("page_id", "xpath", "node_id", "anc", "whole")
     matches = matches.select(
         "page_id", "xpath", "node_id", "anc", "whole", "text_from", "text_to",
         F.when(reads_text, F.col("text")).when(F.col("terminal") != "", F.col("attrs")[name]).alias("direct"),
