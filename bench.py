@@ -80,7 +80,7 @@ def main() -> None:
     timed("run_all_stages", lambda: run_all_stages(lists).outputs)
 
     per_second = {
-        name: round((n_pages if name in ("shred_html", "sanitize_pages", "page_xml", "eval_selector") else n_lists) / s)
+        name: round((n_pages if name in ("shred_html", "sanitize_pages", "page_xml", "eval_selector", "eval_selector_attr") else n_lists) / s)
         for name, s in seconds.items() if s > 0 and name != "scan_pages"
     }
     print(json.dumps({
