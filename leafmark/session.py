@@ -16,8 +16,6 @@ _DEFAULTS = {
     # Patterns and similarity cost far more per byte than Spark assumes when it merges small
     # shuffle partitions; keep the cores busy.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
-    # Whole pages travel to the Python tokenizer; few rows per batch bound the worker's memory.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     # A table hashed by page_id also serves joins and windows on (page_id, ...): one
     # shuffle per stage instead of one per key list.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
@@ -29,11 +27,11 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-    _ship(spark)
+    ship(spark)
     return spark
 
 
-def _ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, once per application."""
     context, package = spark.sparkContext, Path(__file__).resolve().parent
     if getattr(context, "_leafmark_shipped", False) or not package.is_dir():
@@ -44,11 +42,17 @@ def _ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors see, named by the cluster; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder all executors see: `leafmark.shared.dir`, else the cluster's checkpoint folder.
+
+    Only a local session without either gets a temporary folder of its own; on a cluster a
+    machine-local folder would lose data, so a missing setting is an error there.
+    """
+    folder = spark.conf.get("leafmark.shared.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir or leafmark.shared.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="leafmark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set("leafmark.shared.dir", folder)
     return folder.rstrip("/")
 
 

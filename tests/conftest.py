@@ -14,7 +14,6 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    session.conf.set("leafmark.shared.dir", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     return tune(session)
