@@ -10,6 +10,7 @@ from leafmark.llm.bpe_trie import encode_and_decode
 from leafmark.llm.common import table
 from leafmark.llm.exact_dedup import exact_dedup
 from leafmark.llm.packing import pack_documents
+from leafmark.llm.quality import judge_quality
 from leafmark.llm.secret_scan import secret_report
 from leafmark.llm.sharding import shard_documents
 from leafmark.llm.token_counts import token_counts
@@ -94,3 +95,8 @@ def _secret_sql() -> str:
 @_query("op8_secret_scan", _secret_sql())
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

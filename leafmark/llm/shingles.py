@@ -39,19 +39,26 @@ def _power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, fold: bool) -> np.ndarray:
+    """Hash of each byte range: a polynomial from prefix sums, so all ranges cost one pass."""
+    up, down = _power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(((_FOLD[data] if fold else data).astype(np.uint64) + _ONE) * up[: len(data)], out=sums[1:])
+    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
+def word_ranges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of the words of UTF-8 bytes, in order."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _GAP[data], [True])).view(np.int8)))
+    return edge[0::2], edge[1::2]
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of each word of one text's UTF-8 bytes, in order."""
-    if not len(data):
-        return np.zeros(0, dtype=np.uint64)
-    gap = _GAP[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-    start, stop = edge[0::2], edge[1::2]
+    start, stop = word_ranges(data)
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_FOLD[data].astype(np.uint64) + _ONE) * up[: len(data)], out=sums[1:])
-    return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    return range_hashes(data, start, stop, fold=True)
 
 
 def shingle_set(data: np.ndarray, width: int) -> np.ndarray:
@@ -66,17 +73,30 @@ def shingle_set(data: np.ndarray, width: int) -> np.ndarray:
     return np.unique(total)
 
 
-def text_bytes(column) -> Iterator[np.ndarray]:
-    """UTF-8 bytes of each value of an Arrow string column; null gives none."""
+def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of an Arrow string column without nulls."""
     import pyarrow as pa
 
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     values = column.buffers()[2]
     data = np.frombuffer(values, dtype=np.uint8) if values is not None else np.zeros(0, dtype=np.uint8)
-    valid = column.is_valid().to_pylist() if column.null_count else None
-    for k in range(len(column)):
-        if valid is not None and not valid[k]:
-            yield data[:0]
-        else:
-            yield data[offsets[k] : offsets[k + 1]]
+    return data, offsets
+
+
+def each_text(column) -> Iterator[np.ndarray]:
+    """UTF-8 bytes of each value."""
+    data, offsets = text_bytes(column)
+    for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield data[start:stop]
+
+
+def text_chunks(column, size: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets from 0) of stretches of whole texts of about ``size`` bytes."""
+    data, offsets = text_bytes(column)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
+        end = min(end, len(column))
+        yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        row = end
