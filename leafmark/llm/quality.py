@@ -132,10 +132,14 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
+    return (counts["n_words"] < MIN_WORDS) | (counts["n_repeat_words"] > MAX_REPEATED * counts["n_words"])
+
+
 def train_on(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL) -> Crf | None:
     """Field for lines from (doc_id, text, quality): at most ``per_label`` documents of each label.
 
-    A document's label holds for its lines; which documents are taken is decided by a hash.
+    A document's label holds for its lines, if the base rules pass it; which documents are taken is decided by a hash.
     """
     ranked = labelled.filter(F.col("quality").isin(0, 1) & F.col("text").isNotNull())
     parts = [ranked.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
@@ -150,6 +154,10 @@ def train_on(labelled: DataFrame, per_label: int = TRAIN_PER_LABEL) -> Crf | Non
         lengths.append(m["lines"])
         low = np.where(quality[row : row + len(m["lines"])] == 0, BOILERPLATE, CONTENT)
         labels.append(np.repeat(low, m["lines"]))
+        # What the base rules reject is not the field's to judge, and its lines may look well.
+        heard = np.repeat(~base_failed(m), m["lines"])
+        features[-1], labels[-1] = features[-1][heard], labels[-1][heard]
+        lengths[-1] = np.where(base_failed(m), 0, m["lines"])
     return train(np.concatenate(features), np.concatenate(lengths), np.concatenate(labels), FEATURES, 2)
 
 
@@ -169,7 +177,7 @@ def _judge(field: Crf | None):
                     content = (field.decode(m["features"], m["lines"]) == CONTENT).astype(float)
                 text_of = np.repeat(np.arange(n), m["lines"])
                 share = np.bincount(text_of, weights=content * m["line_words"], minlength=n) / np.maximum(m["n_words"], 1)
-                failed = (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
+                failed = base_failed(m)
                 columns = [m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, n), *[pa.array(c, pa.int64()) for c in columns],

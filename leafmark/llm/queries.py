@@ -10,10 +10,12 @@ from leafmark.llm.bpe_trie import encode_and_decode
 from leafmark.llm.common import table
 from leafmark.llm.exact_dedup import exact_dedup
 from leafmark.llm.packing import pack_documents
+from leafmark.llm.personal_data import find_personal_data
 from leafmark.llm.quality import judge_quality
 from leafmark.llm.secret_scan import secret_report
 from leafmark.llm.sharding import shard_documents
 from leafmark.llm.token_counts import token_counts
+from leafmark.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,6 +99,16 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+@_query("op7_personal_data")
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
