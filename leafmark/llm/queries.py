@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmark.llm.bpe_trie import encode_and_decode
 from leafmark.llm.common import table
 from leafmark.llm.exact_dedup import exact_dedup
+from leafmark.llm.jaccard import jaccard_components
 from leafmark.llm.packing import pack_documents
 from leafmark.llm.personal_data import find_personal_data
 from leafmark.llm.quality import judge_quality
@@ -37,6 +38,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@_query("op1_jaccard_join")
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 @_query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
