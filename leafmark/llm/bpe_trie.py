@@ -1,9 +1,10 @@
 """Byte-level BPE over a trie of distinct words, and decoding.
 
-Words are entered byte by byte into a trie whose nodes carry the last token of the encoding of
-their prefix. That state follows from the states above it: it is the one vocabulary token that
-ends here and stays separate from the last token before it. So a prefix that many words share
-is encoded once, and a word's tokens are read back from its node upwards.
+The new words of many texts form a trie of their bytes, gone through depth first: in sorted
+order each word continues the path of the one before it from where the two part. Every node
+has the last token of the encoding of its prefix, which follows from the nodes above it: it is
+the one vocabulary token that ends here and stays separate from the last token before it. So a
+prefix that many words share is encoded once, and a word's tokens are read back up its path.
 
 Defined results: null text counts as empty and has no tokens; the special token's text is that
 token wherever it stands; very long words cost time in proportion to their length; an empty
@@ -31,8 +32,9 @@ WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L
 PLAIN = re.compile(r"[^\t-\r -~¡-ª«-±´¶-¸»¿-ſ]")
 LATIN = "A-Za-zªºÀ-ÖØ-öø-ſ"
 PLAIN_WORDS = re.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]++| ?[0-9]++| ?[^\t-\r {LATIN}0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]++""")
-#: Distinct words and trie nodes that a worker keeps; beyond them the trie starts anew.
-KEPT_WORDS, KEPT_NODES = 250_000, 1_500_000
+#: Distinct words whose encodings a worker keeps, and texts whose new words form one trie.
+KEPT_WORDS, TEXTS = 500_000, 256
+SHORT = (2, 1)
 OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -44,7 +46,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class BpeTrie:
-    """One vocabulary with its trie of words seen so far."""
+    """One vocabulary and the encodings of the words met so far."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -65,13 +67,17 @@ class BpeTrie:
                 self.parts[c] = (rank, a, b)
         # A token that merging its own bytes does not give back is never in an encoding.
         self.sound = {t: b for b, t in self.id_of.items() if len(b) == 1 or self._merge(b) == [t]}
-        self.longest = max(map(len, self.sound.values()))
+        self.length_of = {t: len(b) for t, b in self.sound.items()}
+        # Lengths of the tokens that end in the same three bytes; of other tokens, up to two.
+        sizes: dict[bytes, set[int]] = {}
+        for token in self.sound.values():
+            if len(token) >= 3:
+                sizes.setdefault(token[-3:], {1, 2}).add(len(token))
+        self.sizes_of = {end: tuple(sorted(s, reverse=True)) for end, s in sizes.items()}
         self.token_of = {b: t for t, b in self.sound.items()}
         self.reset()
 
     def reset(self) -> None:
-        self.child: list[dict[int, int]] = [{}]
-        self.last: list[int] = [-1]
         self.apart: dict[tuple[int, int], bool] = {}
         self.words = {s: (1, str(i), s.encode("utf-8")) for s, i in self.special.items()}
 
@@ -110,42 +116,47 @@ class BpeTrie:
             self.apart[left, right] = known
         return known
 
-    def _grow(self, word: bytes) -> list[int]:
-        """Nodes of the word's prefixes, the root first; states of new ones are filled in."""
-        child, last, at = self.child, self.last, 0
-        path = [0]
-        for end in range(1, len(word) + 1):
-            byte = word[end - 1]
-            node = child[at].get(byte)
-            if node is None:
-                node = len(last)
-                child[at][byte] = node
-                child.append({})
-                for begin in range(max(0, end - self.longest), end):
-                    token = self.token_of.get(word[begin:end])
-                    if token is not None and (begin == 0 or self._stay_apart(last[path[begin]], token)):
-                        break
+    def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Tokens of each of the sorted words; ``last`` has the states along the current path."""
+        token_of, length_of, known, sizes_of = self.token_of, self.length_of, self.apart, self.sizes_of
+        before, last = b"", [-1]
+        for word in words:
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1:]
+            for end in range(shared + 1, len(word) + 1):
+                for size in sizes_of.get(word[max(end - 3, 0):end], SHORT):
+                    begin = end - size
+                    if begin < 0:
+                        continue
+                    token = token_of.get(word[begin:end])
+                    if token is not None:
+                        if begin == 0:
+                            break
+                        pair = (last[begin], token)
+                        apart = known.get(pair)
+                        if apart or (apart is None and self._stay_apart(*pair)):
+                            break
                 last.append(token)
-            path.append(node)
-            at = node
-        return path
+            before, end, ids = word, len(word), []
+            while end:
+                ids.append(last[end])
+                end -= length_of[last[end]]
+            ids.reverse()
+            yield ids
 
     def encode_word(self, word: bytes) -> list[int]:
-        path, end, ids = self._grow(word), len(word), []
-        while end:
-            token = self.last[path[end]]
-            ids.append(token)
-            end -= len(self.sound[token])
-        return ids[::-1]
+        return next(self.encode_words([word])) if word else []
 
     def learn(self, words: set[str]) -> None:
-        """Enter the words not yet known, sorted so that shared prefixes lie side by side."""
+        """Encode the words not yet known; the store begins anew when it is full."""
         new = words.difference(self.words)
-        if len(self.words) + len(new) > KEPT_WORDS or len(self.last) > KEPT_NODES:
+        if len(self.words) + len(new) > KEPT_WORDS:
             self.reset()
             new = words.difference(self.words)
-        for word in sorted(new):
-            ids = self.encode_word(word.encode("utf-8"))
+        ordered = sorted((w.encode("utf-8"), w) for w in new)
+        for (_, word), ids in zip(ordered, self.encode_words([b for b, _ in ordered])):
             self.words[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
 
     def decode(self, ids: list[int]) -> bytes:
@@ -174,15 +185,16 @@ def _digest(path: str):
         trie = load(path)
         for batch in batches:
             columns = [batch.column(0).to_pylist(), [], [], []]
-            for text in batch.column(1).to_pylist():
-                words = split_words(trie, text)
-                trie.learn(set(words))
+            for at in range(0, len(batch), TEXTS):
+                split = [split_words(trie, text) for text in batch.column(1).slice(at, TEXTS).to_pylist()]
+                trie.learn(set().union(*split))
                 known = trie.words
-                parts = [known[w] for w in words]
-                columns[1].append(sum([p[0] for p in parts]))
-                columns[2].append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded = b"".join([p[2] for p in parts]).decode("utf-8", errors="replace")
-                columns[3].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                for words in split:
+                    counts, ids, raw = zip(*map(known.__getitem__, words)) if words else ((), (), ())
+                    columns[1].append(sum(counts))
+                    columns[2].append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+                    decoded = b"".join(raw).decode("utf-8", errors="replace")
+                    columns[3].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
