@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leafmark.functions.text import strip
+from leafmark.operators.report import complete_results
 from leafmark.operators.selectors import eval_selectors
 from leafmark.operators.validate import classify_feedback, run_attempts, select_best
 from leafmark.plans.full_run import run_all_stages
@@ -185,9 +186,9 @@ def list_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def list_results(spark: SparkSession, sf: str) -> DataFrame:
-    return written(spark, sf, "list-results", lambda: select_best(classify_feedback(
+    return written(spark, sf, "list-results", lambda: complete_results(list_pages(spark, sf), select_best(classify_feedback(
         list_nodes(spark, sf), list_selectors(spark, sf), list_values(spark, sf)
-    )))
+    ))))
 
 
 def list_revisions(spark: SparkSession, sf: str) -> DataFrame:

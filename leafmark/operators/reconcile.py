@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from leafmark.model import FIELDS, MAX_REVISIONS, REFERENCE_PREFERENCE, position_of
 from leafmark.operators.selectors import element_selector, match_rows
 from leafmark.operators.tree import serialize, subtrees
-from leafmark.operators.validate import collect_matches, judge
+from leafmark.operators.validate import judge, judged_matches
 from leafmark.session import stage
 
 # Counts and flags ---------------------------------------------------------------------------
@@ -261,12 +261,9 @@ def try_revisions(nodes: DataFrame, flagged: DataFrame, revisions: DataFrame) ->
     """
     old = flagged.select("page_id", "field", "flag", F.col("match_count").alias("old_count"), F.col("sample_value").alias("expected"))
     rows = revisions.join(old, ["page_id", "field"]).withColumn("xpath", F.col("revised_xpath"))
-    matches = collect_matches(nodes, rows.filter(F.col("xpath").isNotNull()))
-    judged = judge(rows, matches)
-    counts = matches.select("page_id", "xpath", F.col("match_count").alias("_n"))
-    return judged.join(counts, ["page_id", "xpath"], "left").select(
+    return judge(rows, judged_matches(nodes, rows)).select(
         "page_id", "field", "flag", "iteration", "explanation", "revised_xpath", "old_count",
-        F.coalesce("_n", F.lit(0)).alias("new_count"), "is_correct",
+        F.col("found_count").alias("new_count"), "is_correct",
         F.get("matched_values", F.lit(0)).alias("first_value"),
     )
 

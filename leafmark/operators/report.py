@@ -16,6 +16,20 @@ def null_empty_sample(results: DataFrame) -> DataFrame:
     return results.withColumn("sample_value", F.nullif("sample_value", F.lit("")))
 
 
+def complete_results(pages: DataFrame, results: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+    """Results with a row for every page and field: what is absent has failed.
+
+    ``pages`` (page_id) are those that got so far as to have selectors.
+    """
+    grid = pages.select("page_id").distinct().select("page_id", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
+    joined = grid.join(results, ["page_id", "field"], "left")
+    blank = {"xpath": "", "sample_value": "", "confidence": "failed"}
+    return joined.withColumns({
+        **{c: F.coalesce(c, F.lit(v)) for c, v in blank.items()},
+        **{c: F.coalesce(c, F.lit(0)) for c in ("iterations", "match_count")},
+    }).select(*results.columns)
+
+
 def assemble_fields(results: DataFrame) -> DataFrame:
     """(page_id, fields): one map entry per field."""
     entry = F.struct("field", F.struct(*_FIELD_COLUMNS))
@@ -75,10 +89,3 @@ def report_rows(results: DataFrame) -> DataFrame:
         F.when(F.col("explanation") != "", F.concat(F.lit("ℹ "), F.col("explanation"))).alias("note"),
     )
 
-
-def report_header(outputs: DataFrame) -> DataFrame:
-    """(page_id, url, status_line) of each document."""
-    return outputs.select(
-        "page_id", "url",
-        F.format_string("%s (%d/%d fields correct)", F.upper("status"), "summary.correct", "summary.total_fields").alias("status_line"),
-    )

@@ -32,6 +32,13 @@ _COND_PARTS = (
     r"(contains|starts-with)?\(?\s*@([\w:\-]+)\s*(?:[,=]\s*(?:'([^']*)'|\"([^\"]*)\"))?"
 )
 
+# How the problem of a selector begins that is valid but not in the accepted forms.
+UNSUPPORTED = "Unsupported form: "
+
+# Any number of steps of a trail, as one loop over characters: a loop over steps would need
+# stack in proportion to a page's depth.
+_ANY_STEPS = "(?:/(?s:.*))?"
+
 COMPILED = ["pattern", "leaf", "terminal", "whole", "conds", "problem"]
 
 
@@ -67,7 +74,7 @@ def _step_pattern(step: Column, i: Column) -> Column:
     tag = F.regexp_extract(step, r"^//?([^\[]+)", 1)
     class_tests = F.filter(_conditions(step), lambda c: c["attr"] == "class")
     # A first `//` may start at any step of the trail, so that pattern is left unanchored.
-    lead = F.when(step.startswith("//"), F.when(i == 0, "").otherwise("(?:/[^/]*)*")).otherwise(
+    lead = F.when(step.startswith("//"), F.when(i == 0, "").otherwise(_ANY_STEPS)).otherwise(
         F.when(i == 0, "^").otherwise("")
     )
     return F.concat(
@@ -96,6 +103,29 @@ def compile_selectors(df: DataFrame) -> DataFrame:
     ).select(*df.columns, *COMPILED)
 
 
+_AXES = (
+    "ancestor|ancestor-or-self|attribute|child|descendant|descendant-or-self|following|following-sibling"
+    "|parent|preceding|preceding-sibling|self"
+)
+_NODE_TEST = r"(?:\*|text\(\)|node\(\)|comment\(\)|[A-Za-z_][\w.\-]*)"
+_LOOSE_STEP = rf"(?:\.\.?|(?:@|(?:{_AXES})::)?{_NODE_TEST})(?:\[\])*"
+_LOOSE_PATH = rf"\(*(?://?)?{_LOOSE_STEP}\)*(?:\[\])*(?://?{_LOOSE_STEP}\)*(?:\[\])*)*"
+
+
+def _well_formed(text: Column) -> Column:
+    """Does it read like a path of the full language: known axes and node tests, quotes closed,
+    and every predicate closed and not empty? Predicates are folded from the inside out."""
+    bare = F.regexp_replace(text, _VALUE, "0")
+    closed = ~bare.rlike("['\"]") & ~bare.rlike(r"\[\s*\]")
+    for _ in range(4):
+        bare = F.regexp_replace(bare, r"\[[^\[\]]+\]", "\x02")
+        bare = F.regexp_replace(bare, "\x02", "[]")
+        bare = F.regexp_replace(bare, r"\[([^\[\]]*)\[\]([^\[\]]*)\]", "[]")
+    even = F.length(F.regexp_replace(bare, r"[^(]", "")) == F.length(F.regexp_replace(bare, r"[^)]", ""))
+    path = rf"\s*{_LOOSE_PATH}\s*"
+    return closed & even & bare.rlike(rf"^(?:{path})(?:\|{path})*\z")
+
+
 def _compile(df: DataFrame, *keep: str) -> DataFrame:
     """The columns come out of a generator so that filters on them are not rewritten in
     terms of the long expressions."""
@@ -120,15 +150,18 @@ def _compile(df: DataFrame, *keep: str) -> DataFrame:
     far = F.exists("_inner", lambda s: F.exists(_conditions(s), _not_class))
     problem = (
         F.when(text == "", "Invalid expression")
-        .when(~F.col("_path").rlike(f"^{_PATH}\\z"), F.concat(F.lit("Invalid expression: "), text))
+        .when(
+            ~F.col("_path").rlike(f"^{_PATH}\\z"),
+            F.concat(F.when(_well_formed(text), UNSUPPORTED).otherwise("Invalid expression: "), text),
+        )
         .when(
             far | ((F.col("_last") == "text()") & (F.size("_conds") > 0)),
-            F.concat(F.lit("Unsupported predicate: "), text),
+            F.concat(F.lit(UNSUPPORTED), text),
         )
     )
     pattern = F.concat(
         F.array_join(F.transform("_steps", _step_pattern), ""),
-        F.when(F.col("_below"), "(?:/[^/]*)*").otherwise(""), F.lit("\\z"),
+        F.when(F.col("_below"), _ANY_STEPS).otherwise(""), F.lit("\\z"),
     )
     return df.select(*keep, "xpath", F.inline(F.array(F.struct(
         pattern.alias("pattern"),
@@ -245,29 +278,31 @@ def match_rows(nodes: DataFrame, selectors: DataFrame, values: bool = True) -> D
     """Run each page's own selectors: (page_id, xpath, node_id, anc, whole[, value]).
 
     ``selectors`` (page_id, xpath) may hold any number of pages with a few selectors each;
-    equal selectors of a page are run once, broken ones give nothing. Selectors meet their
-    page's nodes in one equi-join whose residual tests kind, tag and trail in that order;
-    a page with very many nodes is split by the adaptive skew join. Of `whole` selectors
-    only the first match counts; that is left to the caller.
+    equal selectors of a page are run once, broken ones give nothing. A page's nodes share few
+    ways from the root: selectors are tested on the distinct ways, and an equi-join on page and
+    way then finds the nodes, whose kind, tag and attributes decide the rest. Of `whole`
+    selectors only the first match counts; that is left to the caller.
     """
     compiled = (
         compile_selectors(selectors.select("page_id", "xpath").distinct())
         .filter(F.col("problem").isNull()).drop("problem")
     )
     base = nodes.filter(F.col("kind").isin("el", "text")).select(
-        "page_id", "node_id", "kind", "tag", "attrs", "text", "trail", "text_from", "text_to", "anc"
+        "page_id", "node_id", "kind", "tag", "attrs", "text", "trail", "text_from", "text_to", "anc",
+        F.xxhash64("trail").alias("_way"),
     )
+    ways = base.groupBy("page_id", "_way", F.col("trail").alias("_trail")).agg(F.lit(1).alias("_one")).drop("_one")
+    # regexp_instr keeps its compiled pattern while the pattern stays the same, which it
+    # does along the ways of a page: the selectors are the streamed side of the join.
+    fitting = compiled.join(ways, "page_id").filter(F.regexp_instr("_trail", F.col("pattern")) > 0).drop("pattern")
     reads_text = F.col("terminal") == "text()"
     name = F.substring("terminal", 2, 1 << 20)
     of_kind = F.when(F.col("kind") == "text", reads_text).otherwise(
         ~reads_text & ((F.col("leaf") == "*") | (F.col("leaf") == F.col("tag")))
     )
-    # regexp_instr keeps its compiled pattern while the pattern stays the same, which it
-    # does along the nodes of a page: the selectors are the streamed side of the join.
-    on_trail = F.regexp_instr("trail", F.col("pattern")) > 0
     has = (F.col("terminal") == "") | reads_text | F.map_contains_key("attrs", name)
     holds = (F.size("conds") == 0) | _holds(F.col("conds"), F.col("attrs"))
-    matches = compiled.join(base, "page_id").filter(of_kind & on_trail & has & holds)
+    matches = fitting.join(base, ["page_id", "_way"]).filter((F.col("trail") == F.col("_trail")) & of_kind & has & holds)
     if not values:
         return matches.select("page_id", "xpath", "node_id", "anc", "whole")
     matches = matches.select(

@@ -1,7 +1,7 @@
 """Walking the page tree: ancestors, paths, text content, serialising back to markup.
 
-Joins here are equi-joins on (page_id, node_id): ancestor ids are exploded from `anc`
-(at most MAX_DEPTH of them), so no step compares the nodes of a page with each other.
+Joins here are equi-joins on (page_id, node_id): ancestor ids are exploded from `anc`, so no
+step compares the nodes of a page with each other.
 """
 
 from __future__ import annotations
@@ -204,7 +204,8 @@ def page_xml(nodes: DataFrame) -> DataFrame:
 
 def subtrees(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Node rows inside each root (page_id, root_id), keyed by the root they belong to."""
-    member = nodes.join(roots.select("page_id").distinct(), "page_id", "left_semi").withColumn(
-        "root_id", F.explode(F.concat("anc", F.array("node_id")))
-    )
-    return member.join(roots.select("page_id", "root_id").distinct(), ["page_id", "root_id"], "left_semi")
+    few = roots.groupBy("page_id").agg(F.collect_set("root_id").alias("_roots"))    # rows of one page
+    held = nodes.join(few, "page_id").withColumn(
+        "_held", F.array_intersect(F.concat("anc", F.array("node_id")), F.col("_roots"))
+    ).filter(F.size("_held") > 0)
+    return held.select(*nodes.columns, F.explode("_held").alias("root_id"))

@@ -9,9 +9,15 @@ from pyspark.sql.types import BooleanType
 from leafmark.functions.similarity import best_window_reaches
 from leafmark.functions.text import plural, strip
 from leafmark.model import BROAD_MATCHES, HARDCODED_MIN_CHARS, MAX_ROUNDS
-from leafmark.operators.selectors import check_syntax, match_rows
+from leafmark.operators.selectors import UNSUPPORTED, check_syntax, match_rows
 
+# The feedback texts, with the places where numbers and values go.
 INVALID_ANSWER = "Invalid JSON response"
+HARDCODED = "Hardcoded value: XPath contains the literal target value '"
+SYNTAX_ERROR = "XPath syntax error: "
+MISSING = "Missing: XPath matched 0 elements. Expected to find: '"
+CORRECT, CORRECT_AMONG = "Correct", "Correct (found among %d matches)"
+REDUNDANT, REDUNDANT_FOUND = "Redundant: XPath matched %d elements but none contained '", "'. Matched: "
 
 
 def reject_hardcoded(xpath: Column, expected: Column) -> Column:
@@ -30,20 +36,15 @@ def contains_match(values: Column, expected: Column) -> Column:
     return F.coalesce(F.exists(values, fits), F.lit(False))
 
 
-@F.pandas_udf(BooleanType())
-def _any_close(expected: pd.Series, values: pd.Series) -> pd.Series:
-    return pd.Series([
-        v is not None and any(m and best_window_reaches(e, m.lower()) for m in dict.fromkeys(v))
-        for e, v in zip(expected, values)
-    ], dtype=bool)
-
+def value_fits(value: Column, expected: Column) -> Column:
+    """``contains_match`` for one value."""
+    low, e = F.lower(value), F.lower(strip(expected))
+    return F.coalesce((low != "") & (F.contains(low, e) | F.contains(e, low)), F.lit(False))
 
-def any_partial_match(values: Column, expected: Column, unless: Column) -> Column:
-    """Best-window similarity of some match to the expected value.
 
-    Rows that are settled already (``unless``) hand no text to Python.
-    """
-    return _any_close(F.lower(strip(expected)), F.when(~unless, values))
+@F.pandas_udf(BooleanType())
+def _close(expected: pd.Series, value: pd.Series) -> pd.Series:
+    return pd.Series([bool(v) and best_window_reaches(e, v) for e, v in zip(expected, value)], dtype=bool)
 
 
 def quote_list(values: Column) -> Column:
@@ -59,54 +60,67 @@ def flag_broad(match_count: Column) -> Column:
     return match_count > BROAD_MATCHES
 
 
-def collect_matches(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
-    """(page_id, xpath, match_count, matched_values) in document order, matches only."""
-    found = match_rows(nodes, selectors).groupBy("page_id", "xpath").agg(
-        F.array_sort(F.collect_list(F.struct("node_id", "value"))).alias("_m"), F.first("whole").alias("_whole")
-    )
-    ordered = F.when(F.col("_whole"), F.slice("_m", 1, 1)).otherwise(F.col("_m"))
-    return found.select(
-        "page_id", "xpath", F.size(ordered).alias("match_count"),
-        F.transform(ordered, lambda m: m["value"]).alias("matched_values"),
+#: Values kept of a selector's matches: those a message shows.
+SHOWN_VALUES = 3
+
+
+def judged_matches(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """What each selector finds, against the expected value: (page_id, xpath, expected,
+    found_count, fits, close, matched_values), only where something is found.
+
+    Matches are judged row by row and then counted; of their texts only the first few are
+    kept. The window similarity runs in Python and gets text only where no match fits.
+    """
+    pairs = wanted.filter(F.col("xpath").isNotNull()).select("page_id", "xpath", "expected").distinct()
+    rows = match_rows(nodes, pairs).join(pairs, ["page_id", "xpath"])
+    group = Window.partitionBy("page_id", "xpath", "expected")
+    rows = rows.withColumn("_n", F.row_number().over(group.orderBy("node_id"))).filter(~F.col("whole") | (F.col("_n") == 1))
+    rows = rows.withColumn("_fits", value_fits(F.col("value"), F.col("expected")))
+    settled = F.max("_fits").over(group)
+    open_text = F.when(~settled & F.col("expected").isNotNull() & (F.col("value") != ""), F.lower("value"))
+    rows = rows.withColumn("_open", open_text)
+    rows = rows.withColumn("_close", _close(F.coalesce(F.lower(strip(F.col("expected"))), F.lit("")), F.col("_open")))
+    first = F.collect_list(F.when(F.col("_n") <= SHOWN_VALUES, F.struct("_n", "value")))
+    return rows.groupBy("page_id", "xpath", "expected").agg(
+        F.count("*").cast("int").alias("found_count"), F.max("_fits").alias("fits"), F.max("_close").alias("close"),
+        F.transform(F.array_sort(first), lambda m: m["value"]).alias("matched_values"),
     )
 
 
 def judge(selectors: DataFrame, matches: DataFrame) -> DataFrame:
-    """Attempts rows from selectors (…, xpath, expected) and their collected matches.
+    """Attempts rows from selectors (…, xpath, expected) and their ``judged_matches``.
 
-    First of: unreadable answer, spelled-out value, syntax error, no match, contained
-    value, similar value, other matches.
+    First of: unreadable answer, spelled-out value, syntax error or unsupported form, no
+    match, contained value, similar value, other matches. `found_count` is what the selector
+    finds even if it is stopped for another reason.
     """
-    rows = check_syntax(selectors).join(matches, ["page_id", "xpath"], "left")
+    found = matches.withColumnsRenamed({"page_id": "_p", "xpath": "_x", "expected": "_e"})
+    rows = check_syntax(selectors).join(
+        found, (F.col("page_id") == F.col("_p")) & (F.col("xpath") == F.col("_x")) & F.col("expected").eqNullSafe(F.col("_e")), "left"
+    ).drop("_p", "_x", "_e")
     xpath, expected, problem = F.col("xpath"), F.col("expected"), F.col("problem")
     hard = F.coalesce(reject_hardcoded(xpath, expected), F.lit(False))
     stopped = xpath.isNull() | hard | problem.isNotNull()
     empty = F.array().cast("array<string>")
+    n = F.col("match_count")
     rows = rows.withColumns({
+        "found_count": F.coalesce("found_count", F.lit(0)),
         "matched_values": F.when(stopped, empty).otherwise(F.coalesce("matched_values", empty)),
-        "match_count": F.when(stopped, 0).otherwise(F.coalesce("match_count", F.lit(0))),
+        "match_count": F.when(stopped, 0).otherwise(F.coalesce("found_count", F.lit(0))),
+        "is_correct": F.when(stopped, False).otherwise(F.coalesce(F.col("fits") | F.col("close"), F.lit(False))),
         "_hard": hard,
     })
-    rows = rows.withColumn("_exact", contains_match(F.col("matched_values"), expected))
-    settled = F.col("_exact") | (F.col("match_count") == 0)
-    rows = rows.withColumn(
-        "is_correct", F.col("_exact") | any_partial_match(F.col("matched_values"), expected, settled)
-    )
-    n = F.col("match_count")
     message = (
         F.when(xpath.isNull(), INVALID_ANSWER)
-        .when(F.col("_hard"), F.concat(
-            F.lit("Hardcoded value: XPath contains the literal target value '"), expected, F.lit("'.")))
-        .when(problem.isNotNull(), F.concat(F.lit("XPath syntax error: "), problem))
-        .when(n == 0, F.concat(
-            F.lit("Missing: XPath matched 0 elements. Expected to find: '"), expected, F.lit("'")))
-        .when(F.col("is_correct") & (n == 1), "Correct")
-        .when(F.col("is_correct"), F.format_string("Correct (found among %d matches)", n))
-        .otherwise(F.concat(
-            F.format_string("Redundant: XPath matched %d elements but none contained '", n), expected,
-            F.lit("'. Matched: "), quote_list(F.slice("matched_values", 1, 3))))
+        .when(F.col("_hard"), F.concat(F.lit(HARDCODED), expected, F.lit("'.")))
+        .when(problem.startswith(UNSUPPORTED), problem)
+        .when(problem.isNotNull(), F.concat(F.lit(SYNTAX_ERROR), problem))
+        .when(n == 0, F.concat(F.lit(MISSING), expected, F.lit("'")))
+        .when(F.col("is_correct") & (n == 1), CORRECT)
+        .when(F.col("is_correct"), F.format_string(CORRECT_AMONG, n))
+        .otherwise(F.concat(F.format_string(REDUNDANT, n), expected, F.lit(REDUNDANT_FOUND), quote_list(F.col("matched_values"))))
     )
-    return rows.withColumn("feedback_message", message).drop("_hard", "_exact", "problem")
+    return rows.withColumn("feedback_message", message).drop("_hard", "fits", "close", "problem")
 
 
 def classify_feedback(nodes: DataFrame, selectors: DataFrame, ie_values: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ def classify_feedback(nodes: DataFrame, selectors: DataFrame, ie_values: DataFra
     wanted = selectors.join(
         ie_values.select("page_id", "field", F.col("value").alias("expected")), ["page_id", "field"]
     )
-    judged = judge(wanted, collect_matches(nodes, selectors))
+    judged = judge(wanted, judged_matches(nodes, wanted))
     return judged.select(
         "page_id", "field", "iteration", "xpath", "is_correct", "match_count", "matched_values", "feedback_message"
     )
@@ -161,10 +175,10 @@ def select_best(attempts: DataFrame) -> DataFrame:
 def outcome_line() -> Column:
     rounds = plural(F.col("iterations"), "iteration")
     return (
-        F.when(F.col("confidence") == "correct", F.concat(F.lit("CORRECT ("), rounds, F.lit(")")))
+        F.when(F.col("confidence") == "correct", F.concat(F.lit("right value found after "), rounds))
         .when(F.col("confidence") == "best_effort",
-              F.concat(F.lit("WARNING — best effort ("), rounds, F.lit(", no correct match)")))
-        .otherwise(F.concat(F.lit("FAILED — all attempts matched 0 elements ("), rounds, F.lit(")")))
+              F.concat(F.lit("only other values found in "), rounds))
+        .otherwise(F.concat(F.lit("nothing found in "), rounds))
     )
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +59,50 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a staged table: the session's shuffle partitions, within what Spark allows."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+
+
+@dataclass
+class Staged:
+    """What has been written for intermediate use, to be dropped together."""
+
+    paths: list[str] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete these tables; frames that read them can no longer be used."""
+        for table in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.tables.clear()
+        self.paths.clear()
+
+
+_open: list[Staged] = []
+
+
+@contextmanager
+def staging() -> Iterator[Staged]:
+    """Collect what is staged inside, so that the caller can drop it when it is done."""
+    kept = Staged()
+    _open.append(kept)
+    try:
+        yield kept
+    finally:
+        _open.remove(kept)
+
+
+def _note(path: str | None = None, table: str | None = None) -> None:
+    if _open:
+        _open[-1].paths.extend([path] if path else [])
+        _open[-1].tables.extend([table] if table else [])
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several later steps read and return it as a scan.
 
@@ -64,6 +111,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/leafmark/{name}-{uuid.uuid4().hex}"
+    _note(path=path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,15 +119,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def stage_by_page(df: DataFrame, name: str, buckets: int) -> DataFrame:
     """Like ``stage``, as a table bucketed by page_id and sorted by node_id within.
 
-    The one shuffle paid here serves every later join and window on (page_id, ...): they
-    read co-located buckets. ``buckets`` should follow the size of the data.
+    ``df`` comes dealt by page_id over ``buckets`` partitions, so each task writes one bucket;
+    every later join and window on (page_id, ...) reads co-located buckets.
     """
     spark = df.sparkSession
     table = f"leafmark_{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, "page_id").write
-        .bucketBy(buckets, "page_id").sortBy("page_id", "node_id")
-        .option("path", f"{shared_folder(spark)}/leafmark/{table}")
-        .saveAsTable(table)
-    )
+    path = f"{shared_folder(spark)}/leafmark/{table}"
+    _note(path=path, table=table)
+    df.write.bucketBy(buckets, "page_id").sortBy("page_id", "node_id").option("path", path).saveAsTable(table)
     return spark.table(table)

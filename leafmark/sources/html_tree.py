@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from leafmark.model import NODES_DDL
-from leafmark.session import stage_by_page, tune
+from leafmark.session import bucket_count, stage_by_page, tune
 
 # HTML's elements without content, raw-text elements, and which open element a
 # start tag ends.
@@ -53,10 +53,8 @@ ENDS.update({tag: frozenset(["p"]) for tag in _BLOCK_STARTS.split()})
 # An end tag never closes past an element that weighs more than its own.
 WEIGHT = {"div": 1, "td": 2, "th": 2, "tr": 3, "tbody": 4, "thead": 4, "tfoot": 4, "table": 5}
 
-# Deeper markup is attached at this depth, as browsers do, so that `anc` and `trail` stay
-# short on hostile pages and no node is lost.
-MAX_DEPTH = 256
-ROWS_PER_BATCH = 8192
+# Rows and characters of a batch; ways from the root grow with the depth of a page.
+ROWS_PER_BATCH, CHARS_PER_BATCH = 8192, 16_000_000
 
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:--!?>|\Z)"
@@ -125,7 +123,7 @@ class _Tree:
 
     def start(self, tag: str, attrs: list) -> None:
         node_id = self.add("el", tag, attrs, None)
-        if tag not in VOID_TAGS and (len(self.open) < MAX_DEPTH or tag in _RAW_END):
+        if tag not in VOID_TAGS:
             self.open.append(node_id)
             self.names.append(tag)
             self.trails.append(self.rows[-1][11])
@@ -259,35 +257,36 @@ def _to_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     rows: list[list] = []
+    size = 0
     for batch in batches:
         for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.extend(_read_page(page_id, html))
-            while len(rows) >= ROWS_PER_BATCH:
-                yield flush(rows[:ROWS_PER_BATCH])
-                rows = rows[ROWS_PER_BATCH:]
+            for row in _read_page(page_id, html):
+                rows.append(row)
+                size += len(row[11]) + 4 * len(row[10]) + len(row[9] or "")
+                if len(rows) >= ROWS_PER_BATCH or size >= CHARS_PER_BATCH:
+                    yield flush(rows)
+                    rows, size = [], 0
     if rows:
         yield flush(rows)
 
 
-def _splits(pages: DataFrame) -> int:
-    """Number of tasks for pages: that of the source, but no fewer than there are cores."""
-    return max(pages.rdd.getNumPartitions(), pages.sparkSession.sparkContext.defaultParallelism)
-
-
 def shred_html(pages: DataFrame) -> DataFrame:
-    """Node table of usable pages (page_id, html): each page is read where it lies.
+    """Node table of usable pages (page_id, html).
 
-    Nothing is shuffled, unless the source has fewer splits than the cluster has cores
-    (one big file, say), which would leave the tokenizer on a few of them.
+    Pages are dealt by page_id first: the source may have few splits (one big file, say), and
+    html is far smaller than its nodes.
     """
     tune(pages.sparkSession)
-    pages = pages.select("page_id", "html")
-    if pages.rdd.getNumPartitions() < _splits(pages):
-        pages = pages.repartition(_splits(pages))
-    return pages.mapInArrow(_to_batches, NODES_DDL)
+    return pages.select("page_id", "html").repartition("page_id").mapInArrow(_to_batches, NODES_DDL)
 
 
 def write_nodes(pages: DataFrame) -> DataFrame:
-    """The node table, written once for all later steps: bucketed by page, one bucket per
-    split of the source, so buckets stay as small as the splits however large the data."""
-    return stage_by_page(shred_html(pages), "nodes", _splits(pages.select("page_id", "html")))
+    """The node table, written once for all later steps, bucketed by page.
+
+    The html is shuffled to the buckets and shredded there, so a task writes one bucket and
+    the much larger node rows are never shuffled.
+    """
+    tune(pages.sparkSession)
+    buckets = bucket_count(pages.sparkSession)
+    dealt = pages.select("page_id", "html").repartition(buckets, "page_id")
+    return stage_by_page(dealt.mapInArrow(_to_batches, NODES_DDL), "nodes", buckets)

@@ -1,4 +1,4 @@
-"""Result documents as JSON files, one folder per site and run."""
+"""Result documents as JSON files, one folder per run and site."""
 
 from __future__ import annotations
 
@@ -14,18 +14,21 @@ DOCUMENT_DDL = (
 )
 
 
-def write_results(outputs: DataFrame, path: str) -> None:
-    """Append documents under domain=…/run_ts=yyyyMMdd_HHmmss, nulls written out.
+def write_results(outputs: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Write documents under run_ts=…/domain=…, nulls written out.
 
-    Rebalancing gathers small sites into few files and splits very large ones.
+    A run given an id (of letters, digits, - and _) replaces what it wrote before, so it can be
+    repeated; without one the time is taken and documents are added. Rebalancing gathers small
+    sites into few files and splits very large ones.
     """
-    (
-        outputs.withColumn("domain", url_domain(F.col("url")))
-        .withColumn("run_ts", F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"))
-        .hint("rebalance", "domain")
-        .write.mode("append").partitionBy("domain", "run_ts")
-        .option("ignoreNullFields", "false").json(path)
-    )
+    stamped = outputs.withColumn("domain", url_domain(F.col("url"))).hint("rebalance", "domain")
+    out = stamped.write.option("ignoreNullFields", "false")
+    if run_id is None:
+        run_id = outputs.sparkSession.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")).first()[0]
+        out = out.mode("append")
+    else:
+        out = out.mode("overwrite")
+    out.partitionBy("domain").json(f"{path}/run_ts={run_id}")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,8 @@ import pytest
 
 from leafmark.operators.tree import ancestors_of, node_path, page_xml, serialize
 from leafmark.sources import html_tree
-from leafmark.sources.html_tree import MAX_DEPTH, _read_page, shred_html
+from leafmark.operators.selectors import eval_selector
+from leafmark.sources.html_tree import _read_page, shred_html, write_nodes
 from tests.fixtures import body, nodes, pages, thread_list
 
 
@@ -53,9 +54,9 @@ def test_ranges_siblings_and_text_counts():
         assert x["prev_id"] == (max(before) if before else None)
 
 
-def test_hostile_pages_stay_whole_and_shallow():
+def test_hostile_pages_stay_whole():
     deep = rows("<div>" * 1000 + "end")
-    assert max(x["depth"] for x in deep) <= MAX_DEPTH + 1
+    assert max(x["depth"] for x in deep) == 1003
     assert sum(x["tag"] == "div" for x in deep) == 1000
     assert rows('<a href="x>never closed')[-1]["text"] == "never closed"
     assert len(_read_page(1, "<a" * 200_000)) == 3
@@ -90,3 +91,25 @@ def test_paths_and_ancestors(spark):
     assert [r["path"] for r in node_path(n, wanted).collect()] == ["/html/body/div[2]/i"]
     tags = n.join(ancestors_of(wanted), ["page_id", "node_id"], "left_semi").orderBy("node_id").select("tag")
     assert [r["tag"] for r in tags.collect()] == ["html", "body", "div"]
+
+
+def test_deep_pages_keep_their_depth_everywhere(spark):
+    n = nodes(spark, body("<div class='row'>" * 1500 + "<b>end</b>" + "</div>" * 1500), thread_list(2))
+    path = node_path(n, n.filter("tag = 'b' and depth > 1000")).collect()[0]["path"]
+    assert path == "/html/body" + "/div" * 1500 + "/b"
+    assert page_xml(n).filter("page_id = 1").collect()[0]["xml"].count("</div>") == 1500
+    found = eval_selector(n, "//body//div//b").filter("page_id = 1").collect()
+    assert [r["value"] for r in found] == ["end"]
+
+
+def test_source_is_read_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    source = pages(spark, thread_list(2), thread_list(3), thread_list(2))
+    write_nodes(source.mapInArrow(count, source.schema))
+    assert reads.value == 3

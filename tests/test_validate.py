@@ -130,6 +130,6 @@ def test_summary_lines(spark):
     df = spark.createDataFrame(rows, "page_id long, field string, confidence string, iterations int")
     got = {(r["field"], r["n"], r["line"]) for r in V.confidence_summary(df).collect()}
     assert got == {
-        ("title", 2, "CORRECT (1 iteration)"), ("link", 1, "FAILED — all attempts matched 0 elements (3 iterations)"),
-        ("link", 1, "WARNING — best effort (2 iterations, no correct match)"),
+        ("title", 2, "right value found after 1 iteration"), ("link", 1, "nothing found in 3 iterations"),
+        ("link", 1, "only other values found in 2 iterations"),
     }
