@@ -6,10 +6,12 @@ first shingles in that order, and at the first one they share, sizes and positio
 the overlap that is asked for. So only those first shingles are indexed, as lists sorted by size
 and position, and whole blocks of a list are skipped if their sizes or positions rule it out.
 
-Which sets are connected is found by comparing sets in full, but not all of them: each set is
-compared with the one it shares most listed shingles with, and in long lists with a few pivots;
-what a set is connected to follows from the set it was found equal enough to. Only pairs that
-are still apart after that are compared too, every one of them, so no connection is lost.
+A pair found in a list is dropped if its first shingles have too few in common: what can follow
+them would not be enough. Which sets are connected is then found by comparing sets in full, but
+not all of them: each set is compared with the one it shares most first shingles with, and in
+long lists with a few pivots; what a set is connected to follows from the set it was found equal
+enough to. Only pairs that are still apart after that are compared too, every one of them, so no
+connection is lost. Whole sets travel only for those comparisons.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked
 with nothing; a text with fewer words than a shingle is one shingle; rows that repeat an id are
@@ -35,11 +37,17 @@ FREQUENT, STRETCH, AT_LEAST = 1 << 17, 4_000_000, 3
 #: Lists up to this length are compared pair by pair; longer ones by pivots first. Shingles
 #: counted so often go to the pivots at once, so that no task reads a whole long list.
 SHORT_LIST, HOT_SHINGLE, PIVOTS = 16, 512, 5
+#: Up to so many ids (8 bytes each) are sent to every task; more are joined by a shuffle.
+SENT_IDS = 500_000
 
-INDEX = "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>, hot array<boolean>"
+#: Words of the sketch: bit k says whether the number of shingles with hash k is odd, so two
+#: sketches differ in no more bits than the sets differ in shingles.
+SKETCH_WORDS = 4
+
+INDEX = "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>, hot array<boolean>, sketch array<bigint>"
 _INDEX = pa.schema([
     ("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()),
-    ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_())),
+    ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_())), ("sketch", pa.list_(pa.int64())),
 ])
 
 
@@ -80,13 +88,14 @@ def frequent_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 def _indexed(width: int, percent: int, frequent: np.ndarray, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sig_a, sig_b, prefix, heat, ends = [], [], [], [], [], [0]
+            size, sig_a, sig_b, prefix, heat, ends, odd = [], [], [], [], [], [0], []
             for data in each_text(batch.column(1)):
                 tokens = shingle_set(data, width)
                 n = len(tokens)
                 size.append(n)
                 sig_a.append(np.bitwise_xor.reduce(mix(tokens)) if n else np.uint64(0))
                 sig_b.append(mix(tokens + np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) if n else np.uint64(0))
+                odd.append(np.packbits(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1))
                 take = n - -(-percent * n // 100) + 1 if n else 0
                 at = np.searchsorted(frequent, tokens)
                 late = np.zeros(n, dtype=bool)
@@ -99,10 +108,13 @@ def _indexed(width: int, percent: int, frequent: np.ndarray, hot: np.ndarray):
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, dtype=np.int64)
             warm = np.concatenate(heat) if heat else np.zeros(0, dtype=bool)
             offsets = pa.array(ends, pa.int32())
+            bits = np.concatenate(odd).view(np.int64) if odd else np.zeros(0, dtype=np.int64)
+            fours = pa.array(range(0, len(bits) + 1, SKETCH_WORDS), pa.int32())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(sig_a, dtype=np.uint64).view(np.int64)),
                 pa.array(np.array(sig_b, dtype=np.uint64).view(np.int64)),
                 pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(warm)),
+                pa.ListArray.from_arrays(fours, pa.array(bits)),
             ], schema=_INDEX)
 
     return run
@@ -218,12 +230,41 @@ def _compare(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sketches_fit(n: str, m: str, one: str, other: str, percent: int) -> Column:
+    """The sketches differ in no more bits than sets that reach the threshold could differ in."""
+    bits = sum((F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
+    both = F.col(n) + F.col(m)
+    return bits <= both - 2 * F.ceil(F.lit(percent) * both / F.lit(100 + percent))
+
+
+def _plausible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` with `common`, the first shingles both have, where that is enough.
+
+    Up to the end of the list part that ends first, all common shingles are among the first
+    ones of both; beyond it, no more than what that set has left can be common. The sketches
+    must not differ too much either.
+    """
+    for end in ("a", "b"):
+        pairs = pairs.join(firsts.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("prefix").alias(f"first_{end}"),
+                                         F.col("sketch").alias(f"sketch_{end}")), end)
+    left = F.greatest(*[F.col(f"n_{x}") - F.size(f"first_{x}") for x in "ab"])
+    least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
+    near = pairs.filter(_sketches_fit("n_a", "n_b", "sketch_a", "sketch_b", percent))
+    return near.withColumn("common", F.size(F.array_intersect("first_a", "first_b"))).filter(F.col("common") + left >= least).drop(
+        *[f"{c}_{end}" for c in ("n", "first", "sketch") for end in "ab"]
+    )
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; b may be frequent, its set then travels."""
+    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    sets = staged(rows.join(wanted, "doc_id", "leftsemi").mapInArrow(_sets(width), "node bigint, tokens binary"), "sets")
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return staged(rows.mapInArrow(_compare(percent), "a bigint, b bigint"), "links").distinct()
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    return staged(both.mapInArrow(_compare(percent), "a bigint, b bigint"), "links").distinct()
 
 
 def _size_class(n: Column, percent: int) -> Column:
@@ -254,10 +295,10 @@ def _pivot_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
-def _apart_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _apart_pairs(entries: DataFrame, labels: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """Pairs of long lists that are not connected yet: entries outside of their list's largest
     component, with all entries of their block and the blocks beside it."""
-    known = entries.join(labels, "node", "left").withColumns({
+    known = entries.join(labels, "node", "left").join(firsts.select("node", "sketch"), "node").withColumns({
         "label": F.coalesce("component", "node"), "class": _size_class(F.col("n"), percent),
     }).drop("component")
     known = staged(known, "list-entries")
@@ -266,10 +307,11 @@ def _apart_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFra
     outside = known.join(largest.filter("labels > 1"), "token").filter("label <> largest").select(
         "token", F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class"), F.col("node").alias("a"),
         F.col("n").alias("m"), F.col("pos").alias("spot"), F.col("label").alias("other"), "largest",
+        F.col("sketch").alias("drawn"),
     )
     met = known.join(outside, ["token", "class"]).filter(
         (F.col("label") != F.col("other")) & ((F.col("label") == F.col("largest")) | (F.col("node") < F.col("a")))
-        & _fits("n", "pos", "m", "spot", percent)
+        & _fits("n", "pos", "m", "spot", percent) & _sketches_fit("n", "m", "sketch", "drawn", percent)
     )
     return met.select("a", F.col("node").alias("b")).distinct()
 
@@ -283,30 +325,39 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     frequent, counts = frequent_shingles(rows, width)
     index = staged(rows.mapInArrow(_indexed(width, percent, frequent, counts >= HOT_SHINGLE), INDEX), "shingle-index")
     usable = index.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = staged(usable.groupBy("sig_a", "sig_b", "n").agg(F.min_by(F.struct("prefix", "hot"), "doc_id").alias("set"),
+    classes = staged(usable.groupBy("sig_a", "sig_b", "n").agg(F.min_by(F.struct("prefix", "hot", "sketch"), "doc_id").alias("set"),
                                                                F.min("doc_id").alias("node")), "shingle-sets")
     entries = classes.select("node", "n", F.posexplode(F.arrays_zip("set.prefix", "set.hot")).alias("pos", "e")).select(
         F.col("e.prefix").alias("token"), "n", F.col("pos").cast("bigint").alias("pos"), "node", F.col("e.hot").alias("hot")
     )
     lists = entries.filter("NOT hot").drop("hot").repartition(4 * tasks(docs.sparkSession), "token").sortWithinPartitions("token", "n", "pos", "node")
     read = staged(lists.mapInArrow(_read_lists(percent), "a bigint, b bigint, token bigint, n bigint, pos bigint"), "lists")
-    pairs = staged(read.filter("b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
     long = staged(
         read.filter("b IS NULL").select("token", "n", "pos", F.col("a").alias("node"))
         .unionAll(entries.filter("hot").select("token", "n", "pos", "node")), "long-lists",
     )
-    pivots = staged(_pivot_pairs(long, percent), "pivot-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(long.select(F.col("node").alias("doc_id"))).distinct()
-    sets = staged(rows.join(wanted, "doc_id", "leftsemi").mapInArrow(_sets(width), "node bigint, tokens binary"), "sets")
+    firsts = classes.select("node", "n", F.col("set.prefix").alias("prefix"), F.col("set.sketch").alias("sketch"))
+    met = read.filter("b IS NOT NULL").select("a", "b").distinct().withColumn("pivot", F.lit(False)).unionAll(
+        _pivot_pairs(long, percent).withColumn("pivot", F.lit(True))
+    )
+    pairs = staged(_plausible(met, firsts, percent), "pairs")
     # First each set with the one it shares most with, and with pivots; then what is still apart.
-    nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    first = _linked(nearest.unionAll(pivots).distinct(), sets, percent)
-    labels = staged(connected_components(first), "labels")
+    nearest = pairs.groupBy("b").agg(F.max_by("a", F.struct("common", "a")).alias("a")).select("a", "b")
+    first = _linked(staged(nearest.unionAll(pairs.filter("pivot").select("a", "b")).distinct(), "first-pairs"), rows, width, percent)
+    # An id whose rows have different sets connects these.
+    several = usable.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("sig_a", "sig_b")]).filter(
+        "min_sig_a <> max_sig_a OR min_sig_b <> max_sig_b"
+    )
+    same_id = usable.select("doc_id", "sig_a", "sig_b", "n").join(several, "doc_id", "leftsemi").join(
+        classes.select("sig_a", "sig_b", "n", "node"), ["sig_a", "sig_b", "n"]
+    ).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    labels = staged(connected_components(first.unionAll(same_id)), "labels")
     named = pairs.select("a", "b")
     for end in ("a", "b"):
         named = named.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_label")), end, "left")
     apart = named.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
-    second = _linked(apart.unionAll(_apart_pairs(long, labels, percent)).distinct(), sets, percent)
+    more = _plausible(_apart_pairs(long, labels, firsts, percent), firsts, percent).select("a", "b")
+    second = _linked(staged(apart.unionAll(more).distinct(), "second-pairs"), rows, width, percent)
     components = staged(connected_components(
         second.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     ), "components")
