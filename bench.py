@@ -79,14 +79,27 @@ def main() -> None:
     timed("reconcile", lambda: reconcile.reconcile(list_nodes, results, I.list_revisions(spark, sf)))
     timed("run_all_stages", lambda: run_all_stages(lists).outputs)
 
+    # The same orders in few large pages: several hundred rows each, nested, with long classes.
+    wide = stage(I.list_pages(spark, sf, per_list=1600, wrappers=15), "bench-wide")
+    n_wide, html_bytes = wide.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    wide_nodes = write_nodes(wide)
+    n_nodes, node_bytes = wide_nodes.agg(F.count("*"), F.sum(F.octet_length("trail") + 4 * F.size("anc") + F.coalesce(F.octet_length("text"), F.lit(0)))).first()
+    wide_values = stage(propose.propose_values(wide_nodes).select("page_id", "field", "value", "cue_text"), "bench-wide-values")
+    headline = dict(seconds)
+    timed("wide_shred_html", lambda: shred_html(wide))
+    timed("wide_induce_selectors", lambda: induce.induce_selectors(wide_nodes, wide_values))
+    timed("wide_run_all_stages", lambda: run_all_stages(wide).outputs)
+
     per_second = {
         name: round((n_pages if name in ("shred_html", "sanitize_pages", "page_xml", "eval_selector", "eval_selector_attr") else n_lists) / s)
-        for name, s in seconds.items() if s > 0 and name != "scan_pages"
+        for name, s in headline.items() if s > 0 and name != "scan_pages"
     }
     print(json.dumps({
-        "metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
+        "metric": "headline_total", "value": round(sum(headline.values()), 3), "unit": "sec",
         "queries": seconds, "sf": sf.rsplit("sf", 1)[-1], "pages": n_pages, "list_pages": n_lists,
         "pages_per_second": per_second, "cpus": cpus,
+        "wide_pages": n_wide, "wide_nodes": n_nodes, "wide_rows_bytes_over_html": round(node_bytes / max(1, html_bytes), 2),
+        "wide_nodes_per_second": {k: round(n_nodes / s) for k, s in seconds.items() if k.startswith("wide_") and s > 0},
     }))
 
 

@@ -125,10 +125,11 @@ def page_answers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def list_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lists as web pages with one row per order; at most ORDERS_PER_LIST rows each.
+def list_pages(spark: SparkSession, sf: str, per_list: int = ORDERS_PER_LIST, wrappers: int = 0) -> DataFrame:
+    """Order lists as web pages with one row per order; at most ``per_list`` rows each.
 
-    Authors of urgent and high orders are plain text, the others are links.
+    Authors of urgent and high orders are plain text, the others are links. ``wrappers`` nests
+    the list in so many elements with long classes.
     """
     o = table(spark, sf, "orders")
     key = F.col("o_orderkey").cast("string")
@@ -143,7 +144,7 @@ def list_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('</a></div><div class="last"><span>Latest: </span>'), author,
         F.lit('<time class="when">'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</time></div></div>"),
     )
-    block = F.floor(F.col("o_orderkey") / ORDERS_PER_LIST)
+    block = F.floor(F.col("o_orderkey") / per_list)
     page_id = block * 4 + F.array_position(F.array(F.lit("O"), F.lit("F"), F.lit("P")), F.col("o_orderstatus"))
     return (
         o.select(page_id.alias("page_id"), "o_orderkey", row.alias("row"))
@@ -151,8 +152,10 @@ def list_pages(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             "page_id", F.concat(F.lit("https://shop.example/list/"), F.col("page_id").cast("string")).alias("url"),
             F.concat(
-                F.lit("<!DOCTYPE html><html><head><title>Orders</title></head><body><nav><a href=\"/\">Home</a></nav><div class=\"list\">"),
-                F.col("rows"), F.lit("</div><footer>End of list</footer></body></html>"),
+                F.lit("<!DOCTYPE html><html><head><title>Orders</title></head><body><nav><a href=\"/\">Home</a></nav>"),
+                F.lit('<div class="wrap flex items-center justify-between gap-4 rounded border p-2">' * wrappers),
+                F.lit('<div class="list">'), F.col("rows"), F.lit("</div>" + "</div>" * wrappers),
+                F.lit("<footer>End of list</footer></body></html>"),
             ).alias("html"),
         )
     )
