@@ -97,7 +97,8 @@ def staging() -> Iterator[Staged]:
         _open.remove(kept)
 
 
-def _note(path: str | None = None, table: str | None = None) -> None:
+def note_staged(path: str | None = None, table: str | None = None) -> None:
+    """Tell the innermost open ``staging`` what is written."""
     if _open:
         _open[-1].paths.extend([path] if path else [])
         _open[-1].tables.extend([table] if table else [])
@@ -111,7 +112,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/leafmark/{name}-{uuid.uuid4().hex}"
-    _note(path=path)
+    note_staged(path=path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -125,6 +126,6 @@ def stage_by_page(df: DataFrame, name: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     table = f"leafmark_{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/leafmark/{table}"
-    _note(path=path, table=table)
+    note_staged(path=path, table=table)
     df.write.bucketBy(buckets, "page_id").sortBy("page_id", "node_id").option("path", path).saveAsTable(table)
     return spark.table(table)
