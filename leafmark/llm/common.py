@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from leafmark.session import ship, shared_folder
+from leafmark.session import note_staged, ship, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see."""
-    return f"{shared_folder(spark)}/leafmark-corpus/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors see; an open ``leafmark.session.staging`` can drop it."""
+    path = f"{shared_folder(spark)}/leafmark-corpus/{name}-{uuid.uuid4().hex}"
+    note_staged(path=path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +43,22 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+#: Longer texts are not taken into a training sample; they are judged like all others.
+TRAIN_TEXT_BYTES = 1 << 16
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside hands at most ``rows`` rows at a time to Python; the setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def hidden(name: str) -> str:
     """A working column's name that no table is expected to have."""
     return f"__lm_{name}"

@@ -27,18 +27,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafmark.llm.common import documents, staged, tasks
+from leafmark.llm.common import documents, small_batches, staged, tasks
 from leafmark.llm.components import connected_components
 from leafmark.llm.shingles import each_text, mix, shingle_set
 
 #: Frequent shingles that the order puts last: at most so many, counted where a stretch of
 #: documents has them so often. They decide only which shingles are listed, never a result.
-FREQUENT, STRETCH, AT_LEAST = 1 << 17, 4_000_000, 3
+FREQUENT, STRETCH, AT_LEAST = 1 << 17, 2_000_000, 3
 #: Lists up to this length are compared pair by pair; longer ones by pivots first. Shingles
 #: counted so often go to the pivots at once, so that no task reads a whole long list.
 SHORT_LIST, HOT_SHINGLE, PIVOTS = 16, 512, 5
 #: Up to so many ids (8 bytes each) are sent to every task; more are joined by a shuffle.
 SENT_IDS = 500_000
+#: Rows that go to Python at a time: a row may hold two whole sets.
+BATCH_ROWS = 1000
 
 #: Words of the sketch: bit k says whether the number of shingles with hash k is odd, so two
 #: sketches differ in no more bits than the sets differ in shingles.
@@ -268,8 +270,8 @@ def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Data
 
 
 def _size_class(n: Column, percent: int) -> Column:
-    """Sets of two classes that do not touch differ too much in size."""
-    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+    """Sets of two classes that do not touch differ too much in size (with room for rounding)."""
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("int")
 
 
 def _fits(n: str, pos: str, m: str, spot: str, percent: int) -> Column:
@@ -321,6 +323,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     Documents are linked if the shingle sets' Jaccard similarity is at least ``percent`` / 100.
     """
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _components(docs, width, percent, id_col, text_col)
+
+
+def _components(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     rows = documents(docs, id_col, text_col)
     frequent, counts = frequent_shingles(rows, width)
     index = staged(rows.mapInArrow(_indexed(width, percent, frequent, counts >= HOT_SHINGLE), INDEX), "shingle-index")

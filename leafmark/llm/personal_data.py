@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafmark.llm.common import documents
+from leafmark.llm.common import TRAIN_TEXT_BYTES, documents
 from leafmark.llm.crf import Crf, train
 
 # The kinds in their order, and the patterns' character classes.
@@ -237,6 +237,6 @@ def _report(field: Crf | None):
 def find_personal_data(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
     """Counts of base spans, their digest, and all spans of every document."""
     rows = documents(docs)
-    sample = rows.filter(F.col("text").rlike("[0-9@+]")).select("text", F.xxhash64("doc_id", "text").alias("draw"))
+    sample = rows.filter((F.octet_length("text") <= TRAIN_TEXT_BYTES) & F.col("text").rlike("[0-9@+]")).select("text", F.xxhash64("doc_id", "text").alias("draw"))
     texts = [r["text"] for r in sample.orderBy("draw").limit(train_texts).select("text").collect()]
     return rows.mapInArrow(_report(train_field(texts)), OUT)

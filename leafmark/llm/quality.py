@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafmark.llm.common import documents
+from leafmark.llm.common import TRAIN_TEXT_BYTES, documents
 from leafmark.llm.crf import Crf, train
 from leafmark.llm.shingles import mix, range_hashes, text_chunks, word_ranges
 
@@ -194,7 +194,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PE
     """
     known = labels.select("doc_id", "quality").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
-    return documents(docs).join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "quality")
+    return documents(docs).filter(F.octet_length("text") <= TRAIN_TEXT_BYTES).join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "quality")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -38,7 +38,22 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@_query("op1_jaccard_join")
+@_query("op1_jaccard_join", """
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents
+    ), s AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS sh FROM w
+    ), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 90 * (len(a.sh) + len(b.sh) - c)),
+    m AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r AS (SELECT doc_id, doc_id AS seen FROM s UNION SELECT r.doc_id, m.y FROM r JOIN m ON r.seen = m.x)
+    SELECT doc_id, len(sh)::BIGINT AS n_shingles, least_id AS component_id
+    FROM s JOIN (SELECT doc_id, min(seen) AS least_id FROM r GROUP BY doc_id) USING (doc_id)
+""")
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 

@@ -91,7 +91,7 @@ def each_text(column) -> Iterator[np.ndarray]:
         yield data[start:stop]
 
 
-def text_chunks(column, size: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_chunks(column, size: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets from 0) of stretches of whole texts of about ``size`` bytes."""
     data, offsets = text_bytes(column)
     row = 0

@@ -20,13 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafmark.llm.common import documents
+from leafmark.llm.common import TRAIN_TEXT_BYTES, documents
 from leafmark.llm.shingles import mix, range_hashes, text_chunks
 
 #: Most labelled documents of each class that the network is trained on.
 TRAIN_PER_CLASS = 1200
+#: ... and most bytes of text in all, first by a hash of their ids.
+TRAIN_BYTES = 24_000_000
 WINDOW, STRIDE = 48, 40
 WORDS, TRIGRAMS, HEADS, WIDTH, STATE = 1 << 14, 1 << 12, 1 << 14, 8, 8
 HEAD_BYTES = range(4, 11)
@@ -374,6 +377,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PE
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     # At most 2 * per_class ids: sent to every task, so that no text moves but the sample's.
-    sample = rows.join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").toArrow()
+    short = rows.filter(F.octet_length("text") <= TRAIN_TEXT_BYTES)
+    sample = short.join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "toxic")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
+    if sample.num_rows:
+        sizes = pc.binary_length(sample.column("text").combine_chunks())
+        sample = sample.filter(pc.less_equal(pc.cumulative_sum(sizes.cast(pa.int64())), TRAIN_BYTES))
     net = fit(sample.column("text").combine_chunks(), sample.column("toxic").to_numpy()) if sample.num_rows else None
     return rows.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(_score(net), OUT)

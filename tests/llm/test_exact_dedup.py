@@ -54,3 +54,17 @@ def test_drop_copies_keeps_columns_and_one_row_each(docs):
 def test_smallest(docs):
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup(docs([(3, "a"), (1, "a"), (2, "a")]), keep="smallest").collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (1, False)}
+
+
+def test_staged_tables_can_be_dropped(spark, docs):
+    import os
+
+    from leafmark.session import shared_folder, staging
+
+    folder = f"{shared_folder(spark)}/leafmark-corpus"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with staging() as staged:
+        assert exact_dedup(docs([(1, "a"), (2, "a")])).count() == 2
+        assert set(os.listdir(folder)) > before
+        staged.drop(spark)
+    assert set(os.listdir(folder)) == before
