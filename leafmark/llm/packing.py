@@ -3,8 +3,9 @@
 Each document is tokenized once, in place, into narrow rows, one per piece; only these are
 moved. Pieces are dealt at random over groups of bounded size. Within a group, a piece goes
 where the sum over all gaps of (number of open bins with that gap) squared becomes smallest,
-a new bin included; of a random order and one from large to small the better result counts. Bins that end with a gap worth filling are opened again and their pieces
-meet those of other groups in a second round.
+a new bin included; of a random order and one from large to small the better result counts. Bins that end with a gap are opened again and their pieces
+meet those of other groups in a second round. The rule needs many bins of each gap; in the
+second round, which has few, the tightest fit from large to small is tried as well.
 
 Defined results: null and empty texts are one piece with the end id only; texts longer than a
 sequence are cut, their first piece may be shorter; repeated rows are separate documents, kept
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from leafmark.llm.common import documents, staged
 
 LENGTH, END_ID = 2048, 0
-#: Pieces per packing group, and the fill below which a bin is opened again.
-GROUP, REOPEN = 60_000, 0.995
+#: Pieces per packing group.
+GROUP = 60_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 # Fixed value: the vocabulary's only special token.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -106,13 +107,36 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return bins, offsets
 
 
-def _pack_group(length: int):
+def tightest(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each size, placed where the smallest gap takes it; for few pieces."""
+    open_bins = np.zeros(length + 1, dtype=np.int64)         # by gap
+    stacks: list[list[int]] = [[] for _ in range(length + 1)]
+    bins, offsets = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+    n_bins = 0
+    for k, s in enumerate(sizes.tolist()):
+        gap = s + int((open_bins[s:length] > 0).argmax()) if s < length else length
+        if gap < length and open_bins[gap]:
+            b = stacks[gap].pop()
+            open_bins[gap] -= 1
+        else:
+            gap, b = length, n_bins
+            n_bins += 1
+        bins[k], offsets[k] = b, length - gap
+        if gap > s:
+            stacks[gap - s].append(b)
+            open_bins[gap - s] += 1
+    return bins, offsets
+
+
+def _pack_group(length: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ties = ["doc_id", "piece", "ids_crc32"]
+        dealt = (["deal", *ties], True)
+        falling = (["length", *ties], [False, True, True, True])
         tries = []
-        for keys, up in ((["deal", *ties], True), (["length", *ties], [False, True, True, True])):
+        for (keys, up), rule in ((dealt, sum_of_squares), (falling, sum_of_squares), *([(falling, tightest)] if last else [])):
             ordered = rows.sort_values(keys, ascending=up)
-            tries.append((ordered, *sum_of_squares(ordered["length"].to_numpy(), length)))
+            tries.append((ordered, *rule(ordered["length"].to_numpy(), length)))
         ordered, bins, offsets = min(tries, key=lambda t: t[1].max())
         filled = np.bincount(bins, weights=ordered["length"].to_numpy())
         return ordered.assign(bin=bins, offset=offsets, filled=filled[bins].astype("int64"))
@@ -125,16 +149,16 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
     columns = [c.split()[0] for c in PIECES.split(", ")]
     packed = f"{PIECES}, deal long, pack_group long, bin long, offset long, filled long"
 
-    def one_round(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    def one_round(rows: DataFrame, n: int, seed: int, last: bool) -> DataFrame:
         groups = max(1, -(-n // group))
         dealt = rows.withColumn("deal", F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed)))
         dealt = dealt.withColumn("pack_group", F.pmod("deal", F.lit(groups)))
-        return dealt.groupBy("pack_group").applyInPandas(_pack_group(length), packed)
+        return dealt.groupBy("pack_group").applyInPandas(_pack_group(length, last), packed)
 
-    first = staged(one_round(pieces, pieces.count(), 1), "packed")
-    closed = first.filter(F.col("filled") >= F.lit(REOPEN * length))
-    loose = first.filter(F.col("filled") < F.lit(REOPEN * length)).select(*columns)
-    second = one_round(loose, loose.count(), 2)
+    first = staged(one_round(pieces, pieces.count(), 1, False), "packed")
+    closed = first.filter(F.col("filled") == F.lit(length))
+    loose = first.filter(F.col("filled") < F.lit(length)).select(*columns)
+    second = one_round(loose, loose.count(), 2, True)
     number = lambda k: (F.col("pack_group") * 2 + k) * F.lit(1 << 32) + F.col("bin")
     return closed.withColumn("sequence_id", number(0)).unionAll(second.withColumn("sequence_id", number(1))).select(
         *columns, "sequence_id", "offset"
