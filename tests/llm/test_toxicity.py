@@ -70,11 +70,11 @@ def test_held_out_accuracy(docs, spark):
             words[draw.randrange(len(words))] = draw.choice(bad) + draw.choice(["", ".", ","])
         return " ".join(words)
 
-    rows = [(k, text(int(k % 4 == 0))) for k in range(900)] + [(None, None), (2000, ""), (2001, "12 34 !!"), (2002, "fine " * 9000 + bad[0] + " here " * 3)]
-    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(600)] + [(None, 1), (5, None)], "doc_id bigint, toxic int")
+    rows = [(k, text(int(k % 4 == 0))) for k in range(2100)] + [(None, None), (2000, ""), (2001, "12 34 !!"), (2002, "fine " * 9000 + bad[0] + " here " * 3)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(1800)] + [(None, 1), (5, None)], "doc_id bigint, toxic int")
     got = score_toxicity(docs(rows, score=F.lit("theirs"), held_out=F.lit(1)), labels).collect()
     assert len(got) == len(rows)
-    hits = [(r.predicted == int(r.doc_id % 4 == 0)) for r in got if r.doc_id is not None and 600 <= r.doc_id < 900]
+    hits = [(r.predicted == int(r.doc_id % 4 == 0)) for r in got if r.doc_id is not None and 1800 <= r.doc_id < 2100]
     assert sum(hits) >= 0.95 * len(hits)
     for r in got:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
