@@ -84,10 +84,8 @@ def main() -> None:
     n_wide, html_bytes = wide.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
     wide_nodes = write_nodes(wide)
     n_nodes, node_bytes = wide_nodes.agg(F.count("*"), F.sum(F.octet_length("trail") + 4 * F.size("anc") + F.coalesce(F.octet_length("text"), F.lit(0)))).first()
-    wide_values = stage(propose.propose_values(wide_nodes).select("page_id", "field", "value", "cue_text"), "bench-wide-values")
     headline = dict(seconds)
     timed("wide_shred_html", lambda: shred_html(wide))
-    timed("wide_induce_selectors", lambda: induce.induce_selectors(wide_nodes, wide_values))
     timed("wide_run_all_stages", lambda: run_all_stages(wide).outputs)
 
     per_second = {
