@@ -13,6 +13,11 @@ long lists with a few pivots; what a set is connected to follows from the set it
 enough to. Only pairs that are still apart after that are compared too, every one of them, so no
 connection is lost. Whole sets travel only for those comparisons.
 
+The join's links are then found inside the components, where all of them are: a component is cut
+into size classes and these into chunks of bounded size, and every two sets of a chunk, and of two
+chunks whose sizes can reach the threshold, are compared in full, each pair in one place. Work and
+links grow with the square of a component; no task holds more than two chunks.
+
 Defined results: null and empty texts and texts without words have no shingles and are linked
 with nothing; a text with fewer words than a shingle is one shingle; rows that repeat an id are
 one document with several sets; rows with a null id are in no component (null), and an empty
@@ -22,10 +27,11 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leafmark.llm.common import documents, small_batches, staged, tasks
 from leafmark.llm.components import connected_components
@@ -42,11 +48,20 @@ SENT_IDS = 500_000
 #: Rows that go to Python at a time: a row may hold two whole sets.
 BATCH_ROWS = 1000
 
+#: Bounds of a chunk whose sets are compared with each other and with those of another chunk.
+CHUNK_SHINGLES, CHUNK_SETS = 250_000, 512
+#: Blocks are compared as one product of matrices with so many columns at a time.
+COLUMNS = 4096
+
 #: Words of the sketch: bit k says whether the number of shingles with hash k is odd, so two
 #: sketches differ in no more bits than the sets differ in shingles.
 SKETCH_WORDS = 4
 
 INDEX = "doc_id bigint, n bigint, sig_a bigint, sig_b bigint, prefix array<bigint>, hot array<boolean>, sketch array<bigint>"
+LINKS = ("class_a bigint, class_b bigint, a bigint, b bigint, n_a bigint, n_b bigint, size_a bigint, size_b bigint, "
+         "common bigint")
+#: A block: two chunks, c of size class s and d of size class t, of one component.
+BLOCK = ("component_id", "s", "c", "t", "d")
 _INDEX = pa.schema([
     ("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()),
     ("prefix", pa.list_(pa.int64())), ("hot", pa.list_(pa.bool_())), ("sketch", pa.list_(pa.int64())),
@@ -87,6 +102,12 @@ def frequent_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     return tokens[order], counts[order]
 
 
+def _signature(tokens: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    if not len(tokens):
+        return np.uint64(0), np.uint64(0)
+    return np.bitwise_xor.reduce(mix(tokens)), mix(tokens + np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64)
+
+
 def _indexed(width: int, percent: int, frequent: np.ndarray, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,8 +116,8 @@ def _indexed(width: int, percent: int, frequent: np.ndarray, hot: np.ndarray):
                 tokens = shingle_set(data, width)
                 n = len(tokens)
                 size.append(n)
-                sig_a.append(np.bitwise_xor.reduce(mix(tokens)) if n else np.uint64(0))
-                sig_b.append(mix(tokens + np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) if n else np.uint64(0))
+                for column, value in zip((sig_a, sig_b), _signature(tokens)):
+                    column.append(value)
                 odd.append(np.packbits(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1))
                 take = n - -(-percent * n // 100) + 1 if n else 0
                 at = np.searchsorted(frequent, tokens)
@@ -210,6 +231,106 @@ def _sets(width: int):
     return run
 
 
+def _signed_sets(width: int):
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("tokens", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(data, width) for data in each_text(batch.column(1))]
+            first, second = zip(*map(_signature, sets)) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(first, dtype=np.uint64).view(np.int64)),
+                pa.array(np.array(second, dtype=np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary()),
+            ], schema=schema)
+
+    return run
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Shingles that each set on the left has in common with each on the right; only where ``wanted``."""
+    common = np.zeros(wanted.shape, dtype=np.int64)
+    sides = [np.concatenate(left), np.concatenate(right)]
+    tokens = np.intersect1d(*[np.unique(s) for s in sides], assume_unique=True)
+    if not len(tokens):
+        return common
+    pairs = int(wanted.sum())
+    # Both costs in rough nanoseconds.
+    if pairs * (10_000 + 50 * min(map(len, sides)) // max(1, min(len(left), len(right)))) < wanted.size * len(tokens) // 4 + 200_000:
+        for i, j in zip(*np.nonzero(wanted)):
+            x, y = (left[i], right[j]) if len(left[i]) <= len(right[j]) else (right[j], left[i])
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            common[i, j] = int((y[at] == x).sum())
+        return common
+    places = []
+    for flat, sets in zip(sides, (left, right)):
+        at = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+        known = tokens[at] == flat
+        places.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known], at[known]))
+    for begin in range(0, len(tokens), COLUMNS):
+        has = []
+        for (row, column), sets in zip(places, (left, right)):
+            inside = (column >= begin) & (column < begin + COLUMNS)
+            has.append(np.zeros((len(sets), min(COLUMNS, len(tokens) - begin)), dtype=np.float32))
+            has[-1][row[inside], column[inside] - begin] = 1
+        common += (has[0] @ has[1].T).astype(np.int64)
+    return common
+
+
+def _block_links(percent: int):
+    """The links of each block, from rows sorted by block, side and class."""
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in LINKS.split(", ")])
+
+    def links(block: pa.Table) -> np.ndarray:
+        right, number, node, n, size = (block.column(c).to_numpy() for c in ("right", "class_no", "node", "n", "size"))
+        # A row that is repeated with its id brings its set twice.
+        once = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (right[1:] != right[:-1]))))
+        sets = block.column("tokens").combine_chunks()
+        ends = (once[right[once] == 0], once[right[once] == 1])
+        alone = block.column("s")[0] == block.column("t")[0] and block.column("c")[0] == block.column("d")[0]
+        left, other = ends[0], ends[0] if alone else ends[1]
+        if not len(left) or not len(other):
+            return np.zeros((len(schema), 0), dtype=np.int64)
+        wanted = 100 * np.minimum.outer(n[left], n[other]) >= percent * np.maximum.outer(n[left], n[other])
+        wanted &= node[left][:, None] != node[other][None, :]
+        if alone:
+            wanted &= np.tri(len(left), k=-1, dtype=bool).T
+        if not wanted.any():
+            return np.zeros((len(schema), 0), dtype=np.int64)
+        held = {k: np.frombuffer(sets[k].as_buffer(), dtype=np.uint64) for k in {*left.tolist(), *other.tolist()}}
+        common = _common([held[k] for k in left.tolist()], [held[k] for k in other.tolist()], wanted)
+        both = n[left][:, None] + n[other][None, :] - common
+        i, j = np.nonzero(wanted & (100 * common >= percent * both))
+        a, b = left[i], other[j]
+        a, b = np.where(node[a] < node[b], a, b), np.where(node[a] < node[b], b, a)
+        return np.stack([number[a], number[b], node[a], node[b], n[a], n[b], size[a], size[b], common[i, j]])
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        before = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in BLOCK])
+            starts = (1 + np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))).tolist()
+            if before is not None and (keys[:, 0] != before).any():
+                starts.insert(0, 0)
+            found, at = [], 0
+            for start in starts:
+                found.append(links(pa.Table.from_batches([*held, batch.slice(at, start - at)])))
+                held, at = [], start
+            held.append(batch.slice(at))
+            before = keys[:, -1]
+            if found:
+                yield out(found)
+        if held:
+            yield out([links(pa.Table.from_batches(held))])
+
+    return run
+
+
 def _compare(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -318,26 +439,95 @@ def _apart_pairs(entries: DataFrame, labels: DataFrame, firsts: DataFrame, perce
     return met.select("a", F.col("node").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+class Joined(NamedTuple):
+    """``links``: class_a, class_b, a, b, n_a, n_b, size_a, size_b, common; every two classes of
+    equal sets that reach the threshold, once, with their smallest ids a < b, set sizes, rows, and
+    the shingles both have. ``members``: one row per row of the documents: doc_id, n_shingles,
+    component_id, class_no (rows of one class are linked too; null without shingles or id), and
+    n_links, the other rows that the row is linked with."""
+
+    links: DataFrame
+    members: DataFrame
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> Joined:
+    """All links between rows of ``docs``, and what they connect.
 
     Documents are linked if the shingle sets' Jaccard similarity is at least ``percent`` / 100.
     """
     with small_batches(docs.sparkSession, BATCH_ROWS):
-        return _components(docs, width, percent, id_col, text_col)
+        rows = documents(docs, id_col, text_col)
+        index, classes = _connected(rows, width, percent)
+    with small_batches(docs.sparkSession, BATCH_ROWS // 4):
+        links = _all_links(rows, classes, width, percent)
+    linked = links.groupBy(F.col("class_a").alias("class_no")).agg(F.sum("size_b").alias("k")).unionAll(
+        links.groupBy(F.col("class_b").alias("class_no")).agg(F.sum("size_a").alias("k"))
+    ).groupBy("class_no").agg(F.sum("k").alias("others"))
+    found = _members(index, classes.join(linked, "class_no", "left"), "class_no", "size", "others")
+    return Joined(links, found.select(
+        "doc_id", "n_shingles", "component_id", "class_no",
+        F.when(F.col("class_no").isNull(), 0).otherwise(F.col("size") - 1 + F.coalesce("others", F.lit(0))).cast("bigint").alias("n_links"),
+    ))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id; without the table of links."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _members(*_connected(documents(docs, id_col, text_col), width, percent))
+
+
+def _members(index: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
+    keys = ["sig_a", "sig_b", "n"]
+    there = F.col("doc_id").isNotNull()
+    found = index.select("doc_id", *keys).join(classes.select(*keys, "component_id", *more), keys, "left")
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(there, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        *[F.when(there, F.col(c)).alias(c) for c in more],
+    )
+
+
+def _all_links(rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    parts = lambda: F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)), F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_SETS)))
+    whole = classes.groupBy("component_id").agg(F.count(F.lit(1)).alias("n_classes"), (parts() <= 1).alias("small")).filter("n_classes > 1")
+    # A component that fits into one chunk is not cut.
+    cut = staged(classes.join(whole, "component_id").withColumn("s", F.when(F.col("small"), 0).otherwise(_size_class(F.col("n"), percent))).select(
+        "component_id", "s", "class_no", "node", "n", "sig_a", "sig_b", "size"
+    ), "cut-classes")
+    near = Window.partitionBy("component_id").orderBy("s")
+    chunks = cut.groupBy("component_id", "s").agg(parts().cast("int").alias("k"))
+    for name, beside, step in (("k_below", F.lag, -1), ("k_above", F.lead, 1)):
+        chunks = chunks.withColumn(name, F.when(beside("s").over(near) == F.col("s") + step, beside("k").over(near)).otherwise(0))
+    wanted = cut.select(F.col("node").alias("doc_id")).distinct()
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    sets = rows.join(wanted, "doc_id", "leftsemi").mapInArrow(_signed_sets(width), "node bigint, n bigint, sig_a bigint, sig_b bigint, tokens binary")
+    dealt = cut.join(chunks, ["component_id", "s"]).withColumn("c", F.expr("CAST(pmod(xxhash64(class_no), k) AS INT)"))
+    dealt = staged(sets.join(dealt, ["node", "n", "sig_a", "sig_b"]).drop("sig_a", "sig_b"), "chunks")
+    named = "named_struct('s', {}, 'c', {}, 't', {}, 'd', {}, 'right', {})"
+    places = ", ".join(f"transform(filter(sequence(0, {k}), x -> x < {k}), x -> {named.format(*block)})" for k, *block in (
+        ("k", "s", "least(c, x)", "s", "greatest(c, x)", "IF(x < c, 1, 0)"),
+        ("k_above", "s", "c", "s + 1", "x", "0"), ("k_below", "s - 1", "x", "s", "c", "1"),
+    ))
+    blocks = dealt.select("component_id", "class_no", "node", "n", "size", "tokens", F.explode(F.expr(f"concat({places})")).alias("at")).select(
+        "component_id", "at.*", "class_no", "node", "n", "size", "tokens"
+    )
+    sorted_blocks = blocks.repartition(4 * tasks(rows.sparkSession), *BLOCK).sortWithinPartitions(*BLOCK, "right", "class_no")
+    return staged(sorted_blocks.mapInArrow(_block_links(percent), LINKS), "all-links")
 
 
-def _components(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    rows = documents(docs, id_col, text_col)
+def _connected(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' index, and every class of equal sets with its number, rows, smallest id and component."""
+    spark = rows.sparkSession
     frequent, counts = frequent_shingles(rows, width)
     index = staged(rows.mapInArrow(_indexed(width, percent, frequent, counts >= HOT_SHINGLE), INDEX), "shingle-index")
     usable = index.filter("n > 0 AND doc_id IS NOT NULL")
     classes = staged(usable.groupBy("sig_a", "sig_b", "n").agg(F.min_by(F.struct("prefix", "hot", "sketch"), "doc_id").alias("set"),
-                                                               F.min("doc_id").alias("node")), "shingle-sets")
+                                                               F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"))
+                     .withColumn("class_no", F.monotonically_increasing_id()), "shingle-sets")
     entries = classes.select("node", "n", F.posexplode(F.arrays_zip("set.prefix", "set.hot")).alias("pos", "e")).select(
         F.col("e.prefix").alias("token"), "n", F.col("pos").cast("bigint").alias("pos"), "node", F.col("e.hot").alias("hot")
     )
-    lists = entries.filter("NOT hot").drop("hot").repartition(4 * tasks(docs.sparkSession), "token").sortWithinPartitions("token", "n", "pos", "node")
+    lists = entries.filter("NOT hot").drop("hot").repartition(4 * tasks(spark), "token").sortWithinPartitions("token", "n", "pos", "node")
     read = staged(lists.mapInArrow(_read_lists(percent), "a bigint, b bigint, token bigint, n bigint, pos bigint"), "lists")
     long = staged(
         read.filter("b IS NULL").select("token", "n", "pos", F.col("a").alias("node"))
@@ -368,13 +558,9 @@ def _components(docs: DataFrame, width: int, percent: int, id_col: str, text_col
     components = staged(connected_components(
         second.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     ), "components")
-    node_of = staged(classes.select("sig_a", "sig_b", "n", "node").join(components, "node", "left").select(
-        "sig_a", "sig_b", "n", F.coalesce("component", "node").alias("component_id")
-    ), "class-components")
-    found = index.select("doc_id", "n", "sig_a", "sig_b").join(node_of, ["sig_a", "sig_b", "n"], "left")
-    return found.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    return index, staged(classes.select("class_no", "sig_a", "sig_b", "n", "node", "size").join(components, "node", "left").withColumn(
+        "component_id", F.coalesce("component", "node")
+    ).drop("component"), "class-components")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

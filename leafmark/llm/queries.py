@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmark.llm.bpe_trie import encode_and_decode
 from leafmark.llm.common import table
 from leafmark.llm.exact_dedup import exact_dedup
-from leafmark.llm.jaccard import jaccard_components
+from leafmark.llm.jaccard import jaccard_join
 from leafmark.llm.packing import pack_documents
 from leafmark.llm.personal_data import find_personal_data
 from leafmark.llm.quality import judge_quality
@@ -55,7 +55,7 @@ def tokenizer_file(name: str) -> str:
     FROM s JOIN (SELECT doc_id, min(seen) AS least_id FROM r GROUP BY doc_id) USING (doc_id)
 """)
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90).members.select("doc_id", "n_shingles", "component_id")
 
 
 @_query("op2_packing")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import jaccard
 from leafmark.llm.components import connected_components
-from leafmark.llm.jaccard import jaccard_components, keep_one_of_each
+from leafmark.llm.jaccard import jaccard_components, jaccard_join, keep_one_of_each
 from leafmark.llm.shingles import shingle_set
 
 
@@ -81,10 +81,53 @@ def test_one_large_group_of_copies(docs):
     check(docs, [(i, "the same words again and again " * 9) for i in range(300)] + variants(1, 3, 3), 3, 90)
 
 
+def check_links(docs, rows, width, percent):
+    own = [(i, sets(t, width)) for i, t in rows if i is not None]
+    found = {(i, j): len(a & b) for i, a in own for j, b in own if i < j and a and b and a != b and 100 * len(a & b) >= percent * len(a | b)}
+    least = {s: min(i for i, t in own if t == s) for _, s in own}
+    joined = jaccard_join(docs(rows), width, percent)
+    links = joined.links.collect()
+    assert len(links) == len({(r.class_a, r.class_b) for r in links})
+    assert sorted((r.a, r.b, r.common) for r in links) == sorted((i, j, c) for (i, j), c in found.items() if {i, j} <= set(least.values()))
+    members = joined.members.collect()
+    n_links = {i: sum(bool(s) and i != j and 100 * len(s & o) >= percent * len(s | o) for j, o in own) for i, s in own}
+    assert {r.doc_id: r.n_links for r in members if r.doc_id is not None} == n_links
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in members], key=str) == components(rows, width, percent)
+    return links
+
+
+@pytest.mark.parametrize("width, percent, chunk", [(3, 60, 512), (3, 60, 7)])
+def test_every_link(docs, monkeypatch, width, percent, chunk):
+    """Links inside components too, also where a component is cut into many chunks."""
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", chunk)
+    rows = [*variants(3, 3, 30, words=50), (None, "x y z"), (900, "x y z"), (901, "X y z"), (902, None), (903, "")]
+    links = check_links(docs, rows, width, percent)
+    assert len(links) > len({x for r in links for x in (r.a, r.b)})
+
+
+def test_links_of_long_texts(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 4000)
+    monkeypatch.setattr(jaccard, "COLUMNS", 300)
+    check_links(docs, variants(5, 2, 25, words=2000, vocabulary=9000), 3, 90)
+
+
+def test_links_of_an_id_with_several_sets(docs):
+    rows = [(1, "a b c d e f g h i j k l m"), (1, "n o p q r s t u v w x y z"), (2, "a b c d e f g h i j k l m n"), (3, "n o p q r s t u v w x y z z"),
+            (2, "a b c d e f g h i j k l m n")]
+    joined = jaccard_join(docs(rows), 3, 90)
+    assert sorted((r.a, r.b) for r in joined.links.collect()) == [(1, 2), (1, 3)]
+    assert {r.component_id for r in joined.members.collect()} == {1}
+
+
 def test_empty_table(docs):
     assert jaccard_components(docs(["a"]).filter("false")).count() == 0
 
 
+def test_empty_table_has_no_links(docs):
+    joined = jaccard_join(docs(["a"]).filter("false"))
+    assert joined.links.count() == joined.members.count() == 0
+
+
 def test_keep_one(docs):
     rows = [(3, "a b c d e f g"), (1, "A b c d e f g"), (2, "other words stand here now"), (None, "a b c d e f g"), (4, None)]
     out = keep_one_of_each(docs(rows))
