@@ -1,7 +1,7 @@
 """Best-fit packing of tokenized documents by the sum-of-squares rule.
 
-Each document is tokenized once, in place, into narrow rows, one per piece; only these are
-moved. Pieces are dealt at random over groups of bounded size. Within a group, a piece goes
+Each document is tokenized once, in place, into one row per piece, written with its ids; only
+narrow rows without ids are moved for packing, and the ids are joined to the placements. Pieces are dealt at random over groups of bounded size. Within a group, a piece goes
 where the sum over all gaps of (number of open bins with that gap) squared becomes smallest,
 a new bin included; of a random order and one from large to small the better result counts. Bins that end with a gap are opened again and their pieces
 meet those of other groups in a second round. The rule needs many bins of each gap; in the
@@ -53,24 +53,32 @@ def cut(ids: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _pieces(ranks_path: str, length: int, end_id: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    narrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = narrow.append(pa.field("ids", pa.list_(pa.int32())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(ranks_path)
         for batch in batches:
-            rows = []
+            rows, every = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.array([*code.encode(text, allowed_special="all"), end_id], dtype="<u4")
+                every.append(ids.view("<i4"))
                 for k, (start, n) in enumerate(cut(ids, length)):
                     rows.append((doc_id, k, start, n, zlib.crc32(ids[start:start + n].tobytes())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)] if rows else
-                                             [pa.array([], f.type) for f in schema], schema=schema)
+            if not rows:
+                yield pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+                continue
+            columns = [pa.array(list(c), f.type) for c, f in zip(zip(*rows), narrow)]
+            ends = np.cumsum([0, *[r[3] for r in rows]])
+            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every))))
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
 def tokenized_pieces(docs: DataFrame, ranks_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    return documents(docs).mapInArrow(_pieces(ranks_path, length, end_id), PIECES)
+    """One row per piece, with its token ids."""
+    return documents(docs).mapInArrow(_pieces(ranks_path, length, end_id), f"{PIECES}, ids array<int>")
 
 
 def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +153,12 @@ def _pack_group(length: int, last: bool):
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """``pieces`` with sequence_id and offset."""
+    """``pieces`` with sequence_id and offset; a column piece_no is kept, others are not."""
     columns = [c.split()[0] for c in PIECES.split(", ")]
-    packed = f"{PIECES}, deal long, pack_group long, bin long, offset long, filled long"
+    numbered = ", piece_no long" if "piece_no" in pieces.columns else ""
+    columns += ["piece_no"] if numbered else []
+    pieces = pieces.select(*columns)
+    packed = f"{PIECES}{numbered}, deal long, pack_group long, bin long, offset long, filled long"
 
     def one_round(rows: DataFrame, n: int, seed: int, last: bool) -> DataFrame:
         groups = max(1, -(-n // group))
@@ -166,4 +177,21 @@ def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFra
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    return pack(staged(tokenized_pieces(docs, ranks_path, length, end_id), "pieces"), length)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids of every piece."""
+    pieces = tokenized_pieces(docs, ranks_path, length, end_id).withColumn("piece_no", F.monotonically_increasing_id())
+    pieces = staged(pieces, "pieces")
+    return pack(pieces, length).join(pieces.select("piece_no", "ids"), "piece_no").drop("piece_no")
+
+
+def _crc32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False), np.cumsum([0, *ids.value_lengths().to_pylist()])
+        digests = pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends, ends[1:])], pa.int64())
+        names = [n for n in batch.schema.names if n != "ids"]
+        yield pa.RecordBatch.from_arrays([digests if n == "ids_crc32" else batch.column(n) for n in names], names=names)
+
+
+def placements(packed: DataFrame) -> DataFrame:
+    """``packed`` without its ids; ids_crc32 is computed from them."""
+    return packed.mapInArrow(_crc32, packed.drop("ids").schema)

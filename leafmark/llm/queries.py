@@ -10,7 +10,7 @@ from leafmark.llm.bpe_trie import encode_and_decode
 from leafmark.llm.common import table
 from leafmark.llm.exact_dedup import exact_dedup
 from leafmark.llm.jaccard import jaccard_join
-from leafmark.llm.packing import pack_documents
+from leafmark.llm.packing import pack_documents, placements
 from leafmark.llm.personal_data import find_personal_data
 from leafmark.llm.quality import judge_quality
 from leafmark.llm.secret_scan import secret_report
@@ -60,7 +60,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return placements(pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
 
 
 @_query("op3_token_counts")

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from leafmark.llm.packing import cut, pack, pack_documents, sum_of_squares, tokenized_pieces
+from leafmark.llm.packing import cut, pack, pack_documents, placements, sum_of_squares, tokenized_pieces
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -38,6 +38,20 @@ def test_documents(docs):
     check(pack_documents(docs(texts), RANKS, length=64).collect(), ids, 64)
 
 
+def test_sequences_hold_their_ids(docs):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["long " * 200, "", "é 日本", "same", "same"]
+    packed = pack_documents(docs([(min(k, 3), t) for k, t in enumerate(texts)]), RANKS, length=64)
+    rows = packed.collect()
+    want = {min(k, 3): tokenizer.encode(t, add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+    assert all(r.ids == want[r.doc_id][r.start:r.start + r.length] for r in rows)
+    assert sum(r.length for r in rows) == sum(len(want[min(k, 3)]) for k in range(5))
+    thin = placements(packed)
+    assert "ids" not in thin.columns
+    assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in thin.collect()) == sorted(
+        (r.doc_id, r.piece, zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())) for r in rows)
+
+
 def test_repeated_rows_and_empty_table(docs):
     twice = pack_documents(docs([(1, "same text"), (1, "same text")]), RANKS, length=64).collect()
     assert len(twice) == 2 and len({(r.sequence_id, r.offset) for r in twice}) == 2
