@@ -13,15 +13,16 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from leafmark.llm.common import documents
 
@@ -35,7 +36,7 @@ PLAIN_WORDS = re.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]++| ?[0-9]++| ?
 #: Distinct words whose encodings a worker keeps, and texts whose new words form one trie.
 KEPT_WORDS, TEXTS = 500_000, 256
 SHORT = (2, 1)
-OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+OUT = "doc_id bigint, ids array<int>, decoded string"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -79,7 +80,7 @@ class BpeTrie:
 
     def reset(self) -> None:
         self.apart: dict[tuple[int, int], bool] = {}
-        self.words = {s: (1, str(i), s.encode("utf-8")) for s, i in self.special.items()}
+        self.words = {s: (1, str(i), s.encode("utf-8"), array("i", [i]).tobytes()) for s, i in self.special.items()}
 
     def _merge(self, word: bytes) -> list[int]:
         """Plain merging, lowest rank first and leftmost among equals; for short byte strings."""
@@ -157,7 +158,7 @@ class BpeTrie:
             new = words.difference(self.words)
         ordered = sorted((w.encode("utf-8"), w) for w in new)
         for (_, word), ids in zip(ordered, self.encode_words([b for b, _ in ordered])):
-            self.words[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+            self.words[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes())
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(self.bytes_of[i] for i in ids)
@@ -178,28 +179,40 @@ def split_words(trie: BpeTrie, text: str) -> list[str]:
     return found
 
 
-def _digest(path: str):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def _encoded(path: str):
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = load(path)
         for batch in batches:
-            columns = [batch.column(0).to_pylist(), [], [], []]
             for at in range(0, len(batch), TEXTS):
-                split = [split_words(trie, text) for text in batch.column(1).slice(at, TEXTS).to_pylist()]
+                part = batch.slice(at, TEXTS)
+                split = [split_words(trie, text) for text in part.column(1).to_pylist()]
                 trie.learn(set().union(*split))
                 known = trie.words
+                ends, packed, decoded = [0], [], []
                 for words in split:
-                    counts, ids, raw = zip(*map(known.__getitem__, words)) if words else ((), (), ())
-                    columns[1].append(sum(counts))
-                    columns[2].append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                    decoded = b"".join(raw).decode("utf-8", errors="replace")
-                    columns[3].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                    counts, _, raw, ids = zip(*map(known.__getitem__, words)) if words else ((), (), (), ())
+                    ends.append(ends[-1] + sum(counts))
+                    packed.append(b"".join(ids))
+                    decoded.append(b"".join(raw).decode("utf-8", errors="replace"))
+                flat = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(decoded, pa.string()),
+                ], schema=schema)
 
     return run
 
 
+def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, ids, decoded of every document."""
+    return documents(docs).mapInArrow(_encoded(vocabulary), OUT)
+
+
 def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    return documents(docs).mapInArrow(_digest(vocabulary), OUT)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, from its ids and decoded text."""
+    return encode_documents(docs, vocabulary).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -35,6 +35,15 @@ def test_bpe_is_exact(docs):
         assert got[k].decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def test_bpe_gives_ids_and_decoded_text(docs):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    rows = bpe_trie.encode_documents(docs(TEXTS), VOCABULARY).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        assert r.ids == tokenizer.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.decoded == tokenizer.decode(r.ids, skip_special_tokens=False)
+
+
 def test_bpe_store_begins_anew(monkeypatch):
     trie = bpe_trie.BpeTrie(VOCABULARY)
     want = {w: trie.encode_word(w.encode()) for w in ("hello", " world", "help", "helping")}
