@@ -4,7 +4,8 @@ Only stretches of text around tokens with a digit, an at sign or a plus can hold
 each stretch is a sequence for the field, with the tokens beside it as context. The field reads
 word shapes, is trained on a small table (a bounded sample of texts, labelled by the base
 patterns), and is decoded by Viterbi in numpy batches. A run of tokens that it gives the same
-kind becomes a span unless a base span touches it or it lacks the kind's bare necessities.
+kind, without those that a base span touches, is divided at token borders into spans that have
+the kind's bare necessities; what fits into none is left out.
 
 Defined results: null and empty texts have no spans; repeated rows are searched each; without
 texts to train on there are base spans only; an empty table gives an empty result.
@@ -155,6 +156,10 @@ def train_field(texts: list[str]) -> Crf | None:
     return train(np.concatenate(rows), np.array(lengths), np.array(labels), FEATURES, 1 + len(KINDS))
 
 
+#: Tokens that one item may have: a card's digits one by one.
+LONGEST = 19
+
+
 def _plausible(kind: int, piece: str) -> bool:
     digits = sum("0" <= c <= "9" for c in piece)
     if kind == 0:
@@ -164,21 +169,51 @@ def _plausible(kind: int, piece: str) -> bool:
     return 13 <= digits <= 19 if kind == 2 else 7 <= digits <= 15
 
 
+def _sub_runs(kind: int, tokens: list[tuple[str, int, int]], text: str) -> list[Span]:
+    """A run of one kind as plausible spans at token borders: those that cover most tokens, of
+    these the ones with most tokens that are plausible by themselves, of these the fewest."""
+    best = [(0, 0, 0)]                                       # covered, by themselves, minus spans
+    begins: list[int | None] = [None]
+    for end in range(1, len(tokens) + 1):
+        score, chosen = best[end - 1], None
+        low = max(end - LONGEST, 0)
+        for begin in [*range(end - 1, low - 1, -1), *([0] if low and end == len(tokens) else [])]:
+            if _plausible(kind, text[tokens[begin][1]:tokens[end - 1][2]]):
+                covered, alone, spans = best[begin]
+                other = (covered + end - begin, alone + (end - begin == 1), spans - 1)
+                if other > score:
+                    score, chosen = other, begin
+        best.append(score)
+        begins.append(chosen)
+    found: list[Span] = []
+    end = len(tokens)
+    while end:
+        begin = begins[end]
+        if begin is None:
+            end -= 1
+        else:
+            found.append((kind, tokens[begin][1], tokens[end - 1][2]))
+            end = begin
+    return found[::-1]
+
+
 def added_spans(text: str, sequences: list[list[tuple[str, int, int]]], labels: np.ndarray, base: list[Span]) -> list[Span]:
+    """Spans of tokens that are tagged alike and that no base span touches."""
     found: list[Span] = []
     at = 0
     for sequence in sequences:
-        tags = labels[at:at + len(sequence)]
+        tags = labels[at:at + len(sequence)].tolist()
         at += len(sequence)
+        for k, (_, start, stop) in enumerate(sequence):
+            if tags[k] and (stop <= start or any(a < stop and start < b for _, a, b in base)):
+                tags[k] = 0
         k = 0
         while k < len(sequence):
             end = k + 1
             while end < len(sequence) and tags[end] == tags[k]:
                 end += 1
             if tags[k]:
-                kind, start, stop = int(tags[k]) - 1, sequence[k][1], sequence[end - 1][2]
-                if stop > start and not any(a < stop and start < b for _, a, b in base) and _plausible(kind, text[start:stop]):
-                    found.append((kind, start, stop))
+                found.extend(_sub_runs(tags[k] - 1, sequence[k:end], text))
             k = end
     return found
 

@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from leafmark.llm.personal_data import base_spans, find_personal_data, find_spans, train_field
+from leafmark.llm.personal_data import added_spans, base_spans, find_personal_data, find_spans, stretches, train_field
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -54,6 +55,27 @@ def test_query_columns(docs):
     assert find_personal_data(docs(["a@b.c"]).filter("false")).count() == 0
 
 
+def test_adjacent_items_of_one_kind():
+    """Tokens that are all tagged alike give every item among them, beside base spans too."""
+    for kind, text, want in [
+        (3, "+1 555 123 4567, 555-987-6543", ["555-987-6543"]),
+        (3, "+1 555 123 4567 555-987-6543", ["+1 555 123 4567", "555-987-6543"]),
+        (2, "4111111111111112 4111111111111113", ["4111111111111112", "4111111111111113"]),
+        (2, "4111 1111 1111 1112 4111-1111-1111-1113", ["4111 1111 1111 1112", "4111-1111-1111-1113"]),
+        (3, "5551234 5559876", ["5551234", "5559876"]),
+        (3, "44 2071234567", ["44 2071234567"]),
+        (3, "(555) 123 4567", ["(555) 123 4567"]),
+        (0, "me@example you@there", ["me@example", "you@there"]),
+        (2, "12 4111111111111112", ["12 4111111111111112"]),
+        (2, "12345", []),
+    ]:
+        base = base_spans(text)
+        sequences = stretches(text)
+        tags = np.full(sum(map(len, sequences)), kind + 1)
+        got = added_spans(text, sequences, tags, base)
+        assert [(k, text[a:b]) for k, a, b in got] == [(kind, w) for w in want], text
+
+
 def test_field_adds_by_shape_and_leaves_the_rest():
     draw = random.Random(2)
 
