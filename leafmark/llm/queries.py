@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmark.llm.alignment import alignment_report
 from leafmark.llm.bpe_trie import encode_and_decode
 from leafmark.llm.common import table
 from leafmark.llm.exact_dedup import exact_dedup
@@ -133,3 +134,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
