@@ -11,6 +11,7 @@ from leafmark.llm.bpe_trie import encode_and_decode
 from leafmark.llm.common import table
 from leafmark.llm.exact_dedup import exact_dedup
 from leafmark.llm.jaccard import jaccard_join
+from leafmark.llm.manifest import merkle_manifest
 from leafmark.llm.packing import pack_documents, placements
 from leafmark.llm.personal_data import find_personal_data
 from leafmark.llm.quality import judge_quality
@@ -139,3 +140,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_alignment")
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_report(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@_query("op12_manifest")
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
