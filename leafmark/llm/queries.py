@@ -18,6 +18,7 @@ from leafmark.llm.quality import judge_quality
 from leafmark.llm.secret_scan import secret_report
 from leafmark.llm.sharding import shard_documents
 from leafmark.llm.token_counts import token_counts
+from leafmark.llm.warc import archive_pages
 from leafmark.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +147,24 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents")).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _warc_sql() -> str:
+    """SHA-1 in base 32 by hand: eight runs of five hex digits, four letters each."""
+    letters = " || ".join(
+        f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hx, {5 * i + 1}, 5))::BIGINT >> {15 - 5 * j}) & 31)::INT + 1, 1)"
+        for i in range(8) for j in range(4))
+    return f"""
+    WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hx FROM pages),
+         b AS (SELECT page_id, payload_bytes, {letters} AS payload_digest FROM d),
+         g AS (SELECT payload_digest, payload_bytes, max(page_id) AS keep FROM b GROUP BY payload_digest, payload_bytes)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+    FROM b JOIN g USING (payload_digest, payload_bytes)
+    """
+
+
+@_query("op13_warc", _warc_sql())
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
