@@ -7,9 +7,11 @@ step, no tree walk, nothing shuffled. Compilation itself is a Column expression,
 selector table of any size is compiled where it lies.
 
 Accepted: `/` and `//` steps with a tag or `*`; predicates contains(@a,'v'),
-starts-with(@a,'v'), @a='v', @a, joined by `and` (attributes other than class on the last
-step only); a last `/@a` or `/text()`, also after `//`; string(...) round the whole. Other
-XPath goes through ``eval_selector_literal``.
+starts-with(@a,'v'), @a='v', @a, text()='v', joined by `and` (attributes other than class,
+and text(), on the last step only); a last `/@a` or `/text()`, also after `//`; string(...)
+round the whole. A text() test holds for an element with a child text node equal to 'v'
+(raw text, as XPath compares it); it is a semi-join on (page, parent, text) of text rows.
+Other XPath goes through ``eval_selector_literal``.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from leafmark.operators.tree import text_content
 _VALUE = r"(?:'[^']*'|\"[^\"]*\")"
 _COND = (
     r"(?:(?:contains|starts-with)\(\s*@[\w:\-]+\s*,\s*" + _VALUE + r"\s*\)"
-    r"|@[\w:\-]+\s*=\s*" + _VALUE + r"|@[\w:\-]+)"
+    r"|@[\w:\-]+\s*=\s*" + _VALUE + r"|text\(\)\s*=\s*" + _VALUE + r"|@[\w:\-]+)"
 )
 _PRED = r"\[\s*" + _COND + r"(?:\s+and\s+" + _COND + r")*\s*\]"
 _STEP = r"//?(?:\*|[A-Za-z_][\w.\-]*)(?:" + _PRED + r")*"
@@ -49,11 +51,15 @@ def _conditions(step: Column) -> Column:
     def part(cond: Column, i: int) -> Column:
         return F.regexp_extract(cond, _COND_PARTS, i)
 
-    return F.transform(found, lambda c: F.struct(
+    said = r"=\s*(?:'([^']*)'|\"([^\"]*)\")"
+    return F.transform(found, lambda c: F.when(c.startswith("text()"), F.struct(
+        F.lit("text").alias("op"), F.lit("text()").alias("attr"),
+        F.concat(F.regexp_extract(c, said, 1), F.regexp_extract(c, said, 2)).alias("value"),
+    )).otherwise(F.struct(
         F.when(part(c, 1) != "", part(c, 1)).when(c.rlike("[=]"), "equals").otherwise("present").alias("op"),
         part(c, 2).alias("attr"),
         F.concat(part(c, 3), part(c, 4)).alias("value"),
-    ))
+    )))
 
 
 def _quoted(col: Column) -> Column:
@@ -123,7 +129,9 @@ def _well_formed(text: Column) -> Column:
         bare = F.regexp_replace(bare, r"\[([^\[\]]*)\[\]([^\[\]]*)\]", "[]")
     even = F.length(F.regexp_replace(bare, r"[^(]", "")) == F.length(F.regexp_replace(bare, r"[^)]", ""))
     path = rf"\s*{_LOOSE_PATH}\s*"
-    return closed & even & bare.rlike(rf"^(?:{path})(?:\|{path})*\z")
+    # A function of paths, such as count(//a) or normalize-space(//h1), is a valid literal.
+    call = rf"\s*[A-Za-z][\w\-]*\(\s*(?:{path}(?:,\s*{path})*)?\)\s*"
+    return closed & even & bare.rlike(rf"^(?:(?:{path})(?:\|{path})*|{call})\z")
 
 
 def _compile(df: DataFrame, *keep: str) -> DataFrame:
@@ -183,12 +191,14 @@ def check_syntax(selectors: DataFrame) -> DataFrame:
 
 
 def _holds(conds: Column, attrs: Column) -> Column:
+    """Attribute tests; text() tests are left to a join (``_text_tests``) and hold here."""
     def test(c: Column) -> Column:
         v = attrs[c["attr"]]
         return F.coalesce(
             F.when(c["op"] == "contains", v.contains(c["value"]))
             .when(c["op"] == "starts-with", v.startswith(c["value"]))
             .when(c["op"] == "equals", v == c["value"])
+            .when(c["op"] == "text", F.lit(True))
             .otherwise(v.isNotNull()),
             F.lit(False),
         )
@@ -211,7 +221,8 @@ def eval_selectors(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
     spark = nodes.sparkSession
     named = [(f, x) for f, x in selectors.items()]
     compiled = _compile(spark.createDataFrame(named, "field STRING, xpath STRING"), "field").collect()     # one row per selector written by the caller
-    bad = [r for r in compiled if r["problem"]]
+    bad = [r for r in compiled if r["problem"]] + [
+        {"problem": "text() tests run in match_rows: " + r["xpath"]} for r in compiled if any(c["op"] == "text" for c in r["conds"])]
     if bad:
         raise ValueError("; ".join(r["problem"] for r in bad))
 
@@ -303,6 +314,7 @@ def match_rows(nodes: DataFrame, selectors: DataFrame, values: bool = True) -> D
     has = (F.col("terminal") == "") | reads_text | F.map_contains_key("attrs", name)
     holds = (F.size("conds") == 0) | _holds(F.col("conds"), F.col("attrs"))
     matches = fitting.join(base, ["page_id", "_way"]).filter((F.col("trail") == F.col("_trail")) & of_kind & has & holds)
+    matches = _text_tests(matches, nodes)
     if not values:
         return matches.select("page_id", "xpath", "node_id", "anc", "whole")
     matches = matches.select(
@@ -314,6 +326,22 @@ def match_rows(nodes: DataFrame, selectors: DataFrame, values: bool = True) -> D
     )
 
 
+def _text_tests(matches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Keep matches whose text() tests all hold: each is met by a child text node equal to its
+    value. Only matches that have such tests meet the text rows, on (page_id, parent, text);
+    the node table is laid out by page, so its side is not moved."""
+    tests = F.filter("conds", lambda c: c["op"] == "text")
+    plain = matches.filter(F.size(tests) == 0)
+    tested = matches.filter(F.size(tests) > 0)
+    asked = tested.select("page_id", "xpath", "node_id", F.posexplode(tests).alias("_i", "_c")).select(
+        "page_id", "xpath", "node_id", "_i", F.col("_c.value").alias("_tv"))
+    texts = nodes.filter(F.col("kind") == "text").select("page_id", F.col("parent_id").alias("node_id"), F.col("text").alias("_tv"))
+    met = asked.join(texts, ["page_id", "node_id", "_tv"], "left_semi").groupBy("page_id", "xpath", "node_id").agg(
+        F.countDistinct("_i").alias("_met"))
+    kept = tested.join(met, ["page_id", "xpath", "node_id"]).filter(F.col("_met") == F.size(tests)).drop("_met")
+    return plain.unionByName(kept)
+
+
 def eval_selector_table(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     """Matches of each page's own selectors: (page_id, xpath, node_id, anc, value)."""
     return _first_only(match_rows(nodes, selectors), ["page_id", "xpath"])

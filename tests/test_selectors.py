@@ -90,3 +90,26 @@ def test_element_selector(spark):
     cases = [("//a/text()", "//a"), ("//a/@href", "//a"), ("string(//a/@href)", "//a"), (" //a ", "//a"), ("//a/@data-id", "//a/@data-id"), ("//div/text()/x", "//div/text()/x")]
     df = spark.createDataFrame(cases, "x string, want string")
     assert all(r[0] == r[1] for r in df.select(S.element_selector(F.col("x")), "want").collect())
+
+
+def test_text_tests_against_sparks_own_xpath(spark):
+    html = body('<p> one </p><p>one</p><div>one<b>one</b></div><a>three</a><p>one<i>x</i>one</p><span>Éêvi.</span>')
+    n = nodes(spark, html).cache()
+    xml = page_xml(n).cache()
+    paths = ["//*[text()='one']", "//p[text()=' one ']", "//b[text()=\"one\"]", "//*[text()='éêvi.']", "//*[text()='Éêvi.']",
+             "//a[text()='three' and text()='three']", "//p[text()='x']"]
+    table = spark.createDataFrame([(1, x) for x in paths], "page_id long, xpath string")
+    listed = S.match_counts(pages(spark, ""), paths, S.eval_selector_table(n, table).withColumnRenamed("xpath", "field"))
+    ours = {r["field"]: r["match_count"] for r in listed.collect()}
+    for x in paths:
+        (want,) = S.eval_selector_literal(xml, x).collect()
+        assert ours[x] == want["n"], x
+    assert ours["//*[text()='one']"] == 4 and ours["//*[text()='éêvi.']"] == 0
+
+
+def test_function_literals_are_valid_but_unsupported(spark):
+    rows = [("count(//a)",), ("normalize-space(//h1)",), ("count(//a",), ("//*[text()='x']",), ("//div[text()='x']//a",)]
+    by = {r["xpath"]: r["problem"] for r in S.check_syntax(spark.createDataFrame(rows, "xpath string")).collect()}
+    assert by["count(//a)"].startswith("Unsupported") and by["normalize-space(//h1)"].startswith("Unsupported")
+    assert by["count(//a"].startswith("Invalid expression")
+    assert by["//*[text()='x']"] is None and by["//div[text()='x']//a"].startswith("Unsupported")
