@@ -63,7 +63,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placements(pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
+    return placements(pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
 @_query("op3_token_counts")

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from leafmark.llm.packing import cut, pack, pack_documents, placements, sum_of_squares, tokenized_pieces
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def check(got, ids_of, length):
@@ -103,3 +103,16 @@ def test_tokens_are_those_of_the_library(docs):
     for k, t in enumerate(texts):
         ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
         assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_long_blank_runs_null_ids_and_clashing_columns(docs):
+    from pyspark.sql import functions as F
+
+    tokenizer = Tokenizer.from_file(RANKS)
+    texts = [(1, " " * 2_000_000 + "x"), (2, "\t\n" * 600_000), (None, "null id"), (None, None)]
+    got = tokenized_pieces(docs(texts, ids=F.lit(1), piece=F.lit("clash")), RANKS, length=1 << 22).collect()
+    assert len(got) == 4
+    for r in got:
+        if r.doc_id in (1, 2):
+            ids = np.array([*tokenizer.encode(dict(texts)[r.doc_id], add_special_tokens=False).ids, 0], dtype="<u4")
+            assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
