@@ -65,28 +65,32 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = content_runs(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")),
                         "doc_id", "text", keep)
     narrow = runs.select(
-        ID, KEY, SALT, RUN, HOT, LAST, F.sha2(F.encode(TEXT, "UTF-8"), 256).alias("text_sha256"),
+        ID, PREFIX, KEY, SALT, RUN, HOT, LAST, F.sha2(F.encode(TEXT, "UTF-8"), 256).alias("text_sha256"),
         F.when(F.col(HOT) & F.col(LAST), F.col(TEXT)).alias(TEXT),
     )
     narrow = staged(narrow, "content-runs")
-    # Sub-ranges of hot texts are bounded in rows, and so is the window over one of them.
-    run = Window.partitionBy(KEY, SALT, RUN)
+    # Sub-ranges of hot texts are bounded in rows, and so is the window over one of them. Runs
+    # are numbered within (PREFIX, KEY, SALT): texts that share a hash but not their beginning
+    # were compared in full and stay apart.
+    run = Window.partitionBy(PREFIX, KEY, SALT, RUN)
     sized = narrow.withColumns({
         "keep_id": F.max(F.when(F.col(LAST), F.col(ID))).over(run), "group_size": F.count(F.lit(1)).over(run),
     })
     best = F.max if keep == "largest" else F.min
     # One row per sub-range of a hot text (at most 2 / HOT_SHARE times the ranges): whole texts are compared again.
-    heads = narrow.filter(F.col(HOT)).groupBy(KEY, SALT, RUN).agg(
+    heads = narrow.filter(F.col(HOT)).groupBy(PREFIX, KEY, SALT, RUN).agg(
         F.max(TEXT).alias(TEXT), F.max(F.when(F.col(LAST), F.col(ID))).alias(ID), F.count(F.lit(1)).alias("rows")
     )
     same = Window.partitionBy(KEY, TEXT)
     merged = heads.select(
-        F.col(KEY).alias("m_key"), F.col(SALT).alias("m_salt"), F.col(RUN).alias("m_run"),
+        F.col(PREFIX).alias("m_prefix"), F.col(KEY).alias("m_key"), F.col(SALT).alias("m_salt"), F.col(RUN).alias("m_run"),
         best(ID).over(same).alias("m_keep"), F.sum("rows").over(same).alias("m_size"),
         (F.row_number().over(same.orderBy(F.desc_nulls_last(ID) if keep == "largest" else F.asc_nulls_last(ID), SALT)) == 1).alias("m_first"),
     )
     joined = sized.join(
-        F.broadcast(merged), (F.col(KEY) == F.col("m_key")) & (F.col(SALT) == F.col("m_salt")) & (F.col(RUN) == F.col("m_run")), "left"
+        F.broadcast(merged),
+        (F.col(PREFIX) == F.col("m_prefix")) & (F.col(KEY) == F.col("m_key")) & (F.col(SALT) == F.col("m_salt")) & (F.col(RUN) == F.col("m_run")),
+        "left",
     )
     return joined.select(
         F.col(ID).alias("doc_id"),
