@@ -272,6 +272,10 @@ def _report(field: Crf | None):
 def find_personal_data(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
     """Counts of base spans, their digest, and all spans of every document."""
     rows = documents(docs)
-    sample = rows.filter((F.octet_length("text") <= TRAIN_TEXT_BYTES) & F.col("text").rlike("[0-9@+]")).select("text", F.xxhash64("doc_id", "text").alias("draw"))
-    texts = [r["text"] for r in sample.orderBy("draw").limit(train_texts).select("text").collect()]
+    usable = rows.filter((F.octet_length("text") <= TRAIN_TEXT_BYTES) & F.col("text").rlike("[0-9@+]")).withColumn(
+        "draw", F.xxhash64("doc_id", "text"))
+    # The draws are chosen first, without texts; then only the chosen texts are read.
+    chosen = usable.select("draw").orderBy("draw").limit(train_texts)
+    picked = usable.join(F.broadcast(chosen.distinct()), "draw").orderBy("draw", "doc_id", "text").limit(train_texts)
+    texts = [r["text"] for r in picked.select("text").collect()]
     return rows.mapInArrow(_report(train_field(texts)), OUT)

@@ -102,3 +102,10 @@ def test_field_adds_by_shape_and_leaves_the_rest():
     found = [(base, added) for base, added in find_spans(near, field)]
     assert not any(base for base, _ in found)
     assert sum([k for k, _, _ in added] == [2] for _, added in found) >= 45
+
+
+def test_training_sample_is_bounded_and_whole(docs):
+    """Repeated rows and more texts than the sample: every row is still reported."""
+    rows = [(k % 5, f"call +1 555 010 {k:04d} or mail a{k}@x.org") for k in range(60)] + [(None, None)]
+    got = find_personal_data(docs(rows), train_texts=10).collect()
+    assert len(got) == len(rows) and sum(r.n_email for r in got) == 60
