@@ -378,8 +378,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PE
     some = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     # At most 2 * per_class ids: sent to every task, so that no text moves but the sample's.
     short = rows.filter(F.octet_length("text") <= TRAIN_TEXT_BYTES)
-    sample = short.join(F.broadcast(some[0].unionAll(some[1])), "doc_id").select("doc_id", "text", "toxic")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toArrow()
+    # One text per chosen id (the least), reduced on the executors: an id repeated in many rows
+    # still sends one text.
+    sample = short.join(F.broadcast(some[0].unionAll(some[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = sample.select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     if sample.num_rows:
         sizes = pc.binary_length(sample.column("text").combine_chunks())
         sample = sample.filter(pc.less_equal(pc.cumulative_sum(sizes.cast(pa.int64())), TRAIN_BYTES))

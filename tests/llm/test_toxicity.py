@@ -85,3 +85,11 @@ def test_without_labels_and_rows(docs, spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert [r.score for r in score_toxicity(docs(["a b"]), none).collect()] == [0.0]
     assert score_toxicity(docs(["a"]).filter("false"), none).count() == 0
+
+
+def test_repeated_id_sends_one_text(docs, spark):
+    """An id in many rows is trained on once: the sample holds one text per id."""
+    rows = [(7, f"awful vilewort text number {k}") for k in range(300)] + [(8, "gentle kind words")] * 3 + [(9, None)]
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id bigint, toxic int")
+    got = score_toxicity(docs(rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
