@@ -11,6 +11,7 @@ table give no findings; repeated rows get the findings once each.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -74,16 +75,18 @@ def read_ledger(spark, ledger: str | None) -> DataFrame:
 
 
 def scan_secrets(
-    docs: DataFrame, ledger: str | None = None, batch: str = "batch-0", rules: tuple[Rule, ...] = RULES,
+    docs: DataFrame, ledger: str | None = None, batch: str | None = None, rules: tuple[Rule, ...] = RULES,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, blob, findings (array of kind, version, start, end).
 
     ``ledger`` is a folder that grows by one sub-folder per ``batch``; a batch that is run again
-    after a failure overwrites its own folder only. Without one, a new ledger is begun.
+    after a failure overwrites its own folder only. Without a batch name every call writes a new
+    folder, so no earlier scan is ever replaced. Without a ledger, a new one is begun.
     """
     spark = docs.sparkSession
     ledger = ledger or fresh_path(spark, "ledger")
+    batch = batch or f"batch-{uuid.uuid4().hex}"
     rows = documents(docs, id_col, text_col).withColumn("blob", F.sha2(F.encode("text", "UTF-8"), 256))
     known = read_ledger(spark, ledger).filter(~F.input_file_name().contains(f"/{batch}/")).select("blob", "kind", "version")
     current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])

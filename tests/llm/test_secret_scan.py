@@ -65,3 +65,10 @@ def test_masking(docs):
 
 def test_empty_table(docs):
     assert secret_report(docs([(1, "a")]).filter("false")).count() == 0
+
+
+def test_scans_without_a_batch_name_keep_each_other(spark, docs):
+    ledger = fresh_path(spark, "test-ledger-unnamed")
+    scan_secrets(docs([(1, TEXTS[4]), (2, "plain")]), ledger=ledger)
+    scan_secrets(docs([(3, TEXTS[9])]), ledger=ledger)
+    assert read_ledger(spark, ledger).count() == 6 + 3
