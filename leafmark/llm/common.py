@@ -66,3 +66,41 @@ def hidden(name: str) -> str:
 
 def null_safe(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
+
+
+def free_worker_memory() -> None:
+    """Give back what a Python task has freed: unreachable objects, Arrow's pool, glibc's heap.
+
+    Python workers are reused from task to task and stage to stage; without this their resident
+    size only grows to the largest batch any task ever held."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def releasing(run):
+    """An Arrow batch function that frees worker memory when its task's iterator ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free_worker_memory()
+    return wrapped
+
+
+def released(run):
+    """A function of one pandas group that frees worker memory when it returns."""
+    def wrapped(frame):
+        try:
+            return run(frame)
+        finally:
+            free_worker_memory()
+    return wrapped

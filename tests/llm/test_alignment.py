@@ -12,7 +12,7 @@ from leafmark.llm.alignment import alignment_report, byte_level_table, group_lab
 
 A = public_tokenizers.path("byte_bpe_50k.json")
 B = public_tokenizers.path("piece_bpe_32k.model")
-TEXTS = [
+TEXTS = [" " * 300_000 + "long blank run", 
     None, "", "Hello world", "Hello world", "the cat sat on the mat, the end.", "  spaces\tand\nlines\n\n",
     "é à 中文 🎉 emoji", "<|endoftext|> is plain text here", "x" * 3000, "abc" + "Zq9" * 400, "don't won't can't",
     "word " * 2000, "𝔘𝔫𝔦𝔠𝔬𝔡𝔢 ﬁ",
@@ -47,10 +47,15 @@ def brute(texts):
             pos += len(x)
             ends_b.append(pos)
         cuts = sorted(set(ends_a) & set(ends_b))
-        groups = []
-        for lo, hi in zip([0] + cuts, cuts):
-            ga = [i for i, e in zip(ai, ends_a) if lo < e <= hi]
-            gb = [i for i, e in zip(bi, ends_b) if lo < e <= hi]
+        groups, x, y = [], 0, 0
+        for hi in cuts:
+            ga, gb = [], []
+            while x < len(ai) and ends_a[x] <= hi:
+                ga.append(ai[x])
+                x += 1
+            while y < len(bi) and ends_b[y] <= hi:
+                gb.append(bi[y])
+                y += 1
             groups.append((ga, gb))
         links = Counter((x, y) for ga, gb in groups for x in ga for y in gb)
         rows.append((len(ai), len(bi), groups, links))
