@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from leafmark.llm.common import documents, small_batches, staged, tasks
+from leafmark.llm.common import documents, releasing, small_batches, staged, tasks
 from leafmark.llm.components import connected_components
 from leafmark.llm.shingles import each_text, mix, shingle_set
 
@@ -90,7 +90,7 @@ def _count_frequent(width: int):
         if size:
             yield flush()
 
-    return run
+    return releasing(run)
 
 
 def frequent_shingles(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def _indexed(width: int, percent: int, frequent: np.ndarray, hot: np.ndarray):
                 pa.ListArray.from_arrays(fours, pa.array(bits)),
             ], schema=_INDEX)
 
-    return run
+    return releasing(run)
 
 
 def _read_lists(percent: int):
@@ -217,7 +217,7 @@ def _read_lists(percent: int):
                 empty = pa.nulls(len(a), pa.int64())
                 yield out(np.minimum(a, b), np.maximum(a, b), empty, empty, empty)
 
-    return run
+    return releasing(run)
 
 
 def _sets(width: int):
@@ -228,7 +228,7 @@ def _sets(width: int):
             tokens = [shingle_set(data, width).tobytes() for data in each_text(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], schema=schema)
 
-    return run
+    return releasing(run)
 
 
 def _signed_sets(width: int):
@@ -243,7 +243,7 @@ def _signed_sets(width: int):
                 pa.array(np.array(second, dtype=np.uint64).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary()),
             ], schema=schema)
 
-    return run
+    return releasing(run)
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
@@ -328,7 +328,7 @@ def _block_links(percent: int):
         if held:
             yield out([links(pa.Table.from_batches(held))])
 
-    return run
+    return releasing(run)
 
 
 def _compare(percent: int):
@@ -350,7 +350,7 @@ def _compare(percent: int):
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
-    return run
+    return releasing(run)
 
 
 def _sketches_fit(n: str, m: str, one: str, other: str, percent: int) -> Column:

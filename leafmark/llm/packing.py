@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafmark.llm.common import documents, staged
+from leafmark.llm.common import documents, released, releasing, staged
 
 LENGTH, END_ID = 2048, 0
 #: Pieces per packing group.
@@ -81,7 +81,7 @@ def _pieces(ranks_path: str, length: int, end_id: int):
             columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(every))))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return run
+    return releasing(run)
 
 
 def tokenized_pieces(docs: DataFrame, ranks_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -157,7 +157,7 @@ def _pack_group(length: int, last: bool):
         filled = np.bincount(bins, weights=ordered["length"].to_numpy())
         return ordered.assign(bin=bins, offset=offsets, filled=filled[bins].astype("int64"))
 
-    return run
+    return released(run)
 
 
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafmark.llm.common import TRAIN_TEXT_BYTES, documents
+from leafmark.llm.common import TRAIN_TEXT_BYTES, documents, releasing
 from leafmark.llm.crf import Crf, train
 from leafmark.llm.shingles import mix, range_hashes, text_chunks, word_ranges
 
@@ -184,7 +184,7 @@ def _judge(field: Crf | None):
                      pa.array(failed), pa.array(~failed & (share >= CONTENT_SHARE)), pa.array(share)], schema=schema,
                 )
 
-    return run
+    return releasing(run)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL) -> DataFrame:
@@ -216,4 +216,4 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             kept = [k for part in judge(iter([bare])) for k in part.column(7).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
