@@ -35,7 +35,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [
