@@ -69,3 +69,29 @@ def test_stages(spark, tmp_path):
     sequences = check_packing(packed, ids, 2048)
     assert {r.doc_id for r in packed} == set(masked)
     assert len(sequences) <= 1.03 * sum(map(len, ids.values())) / 2048 + 1
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_odd_rows_empty_table_and_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tests.llm.conftest import SCHEMA
+
+    long_text = " ".join(f"word{k % 997} other{k % 13}" for k in range(30_000))
+    rows = [(None, long_text, "en", "s", 1), (None, None, "en", "s", 0), (5, long_text, "en", "s", 1), (6, "", None, None, None),
+            (7, "token = 'abcdefghijkl' " * 40 + long_text[:2000], "en", "s", 3)]
+    extra = {"keep_id": F.lit("theirs"), "piece": F.lit(9), "ids": F.lit(None).cast("string"), "blob": F.lit("b")}
+    for name, docs in (("rows", spark.createDataFrame(rows, SCHEMA)), ("empty", spark.createDataFrame([], SCHEMA))):
+        docs = docs.withColumns(extra)
+        given = docs.columns
+        for k, (stage_name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            path = str(tmp_path / f"{name}-{k}")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == given, stage_name
+        if name == "empty":
+            assert docs.count() == 0
+        else:
+            assert docs.count() >= 1

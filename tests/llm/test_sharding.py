@@ -40,3 +40,15 @@ def test_small_groups_stay_together(docs):
 def test_fewer_rows_than_shards_and_none(docs):
     check(docs, [(1, "a"), (2, "b")], shards=40)
     assert shard_documents(docs([(1, "a")]).filter("false"), shards=40).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(docs):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "short text") for i in range(50)] + [(100, "é" * 1_500_000), (101, "x" * 3_000_000), (None, "null id")]
+    got = shard_documents(docs(rows, shard=F.lit("theirs"), slot=F.lit(-1), size=F.lit(0)), shards=8).collect()
+    assert len(got) == len(rows)
+    sizes = {r.doc_id: r["size"] for r in got}
+    assert sizes[100] == 3_000_016 and sizes[101] == 3_000_016 and sizes[None] == 7 + 16
+    for r in got:
+        assert 0 <= r.shard < 8

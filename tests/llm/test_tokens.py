@@ -67,3 +67,14 @@ def test_empty_table_and_repeats(docs, operator):
     assert operator(docs(["a"]).filter("false")).count() == 0
     rows = operator(docs([(None, "a b"), (2, "a b"), (2, "a b")])).collect()
     assert len(rows) == 3 and len({r.n_tokens for r in rows}) == 1
+
+
+@pytest.mark.parametrize("operator", [lambda d: bpe_trie.encode_and_decode(d, VOCABULARY), lambda d: token_counts.token_counts(d, PIECES)])
+def test_clashing_columns_and_null_ids(docs, operator):
+    from pyspark.sql import functions as F
+
+    plain = {r.doc_id: r.n_tokens for r in operator(docs([(1, "a b c"), (2, "x" * 20000)])).collect()}
+    clash = docs([(1, "a b c"), (2, "x" * 20000), (None, "a b c")], n_tokens=F.lit("theirs"), ids=F.lit(7), decoded=F.lit(None))
+    got = operator(clash).collect()
+    assert len(got) == 3 and {r.doc_id: r.n_tokens for r in got if r.doc_id is not None} == plain
+    assert [r.n_tokens for r in got if r.doc_id is None] == [plain[1]]
