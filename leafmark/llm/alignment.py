@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from leafmark.llm.byte_bpe import ByteLevelBpe, byte_level_table
 from leafmark.llm.common import documents, hidden, releasing, small_batches, staged
 
 #: Groups with at most this many occurrence pairs are expanded pair by pair; larger ones by distinct ids.
@@ -60,16 +61,6 @@ _ARROW = pa.schema([("rk", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64
 _models: dict[tuple[str, str], tuple] = {}
 
 
-def byte_level_table() -> dict[str, int]:
-    """The byte-level BPE alphabet: printable bytes stand for themselves, the others are moved
-    above 255 in byte order (rule of the GPT-2 byte-level encoding)."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    moved = [b for b in range(256) if b not in own]
-    table = {chr(b): b for b in own}
-    table.update({chr(256 + k): b for k, b in enumerate(moved)})
-    return table
-
-
 def piece_bytes(piece: str) -> bytes:
     """A SentencePiece piece as bytes: U+2581 is a space, ``<0xHH>`` is byte HH."""
     if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
@@ -77,32 +68,6 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode("utf-8")
 
 
-class _AEncoder:
-    """Encoder of the byte-level file: its vocabulary read into tiktoken's BPE (the same ids,
-    about four times less CPU); texts that engine cannot take (its pattern overflows the stack on
-    very long blank runs) go to the tokenizers library. Special-token strings are plain text."""
-
-    def __init__(self, library, a_file: str, table: dict[str, int]):
-        import json
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(a_file, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        ranks = {bytes(table[c] for c in token): i for token, i in vocab.items()}
-        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = library
-
-    def encode(self, text: str) -> list[int]:
-        try:
-            return self.fast.encode_ordinary(text)
-        except (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError):
-            raise
-        except BaseException:          # a panic of the engine: the library takes the text
-            return self.library.encode(text, add_special_tokens=False).ids
-
-
 def load(a_file: str, b_file: str):
     """Both tokenizers and every id's bytes, once per Python worker."""
     key = (a_file, b_file)
@@ -118,7 +83,7 @@ def load(a_file: str, b_file: str):
         a_bytes = [b""] * a.get_vocab_size(with_added_tokens=True)
         for token, i in a.get_vocab(with_added_tokens=True).items():
             a_bytes[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
-        a = _AEncoder(a, a_file, table)
+        a = ByteLevelBpe(a_file, library=a)
         b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         b_bytes = [piece_bytes(b.id_to_piece(i)) for i in range(b.get_piece_size())]
         _models[key] = (a, b, a_bytes, np.array([len(x) for x in a_bytes], np.int64),

@@ -27,8 +27,6 @@ from pyspark.sql import DataFrame, functions as F
 from leafmark.llm.common import documents, released, releasing, staged
 
 LENGTH, END_ID = 2048, 0
-#: Texts given to the tokenizer at a time.
-ENCODE_TEXTS = 64
 #: Pieces per packing group.
 GROUP = 60_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -38,22 +36,14 @@ SPECIAL = {"<|endoftext|>": 50256}
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Batch encoder of a byte-level BPE file: the tokenizers library for its JSON file
-    (special tokens in a text are recognised, none added); a tiktoken rank file as before."""
+    """Batch encoder of a byte-level BPE file. For its JSON file, the ids of the tokenizers
+    library (special tokens in a text are recognised, none added), computed by
+    ``byte_bpe.ByteLevelBpe``; a tiktoken rank file as before."""
     if path.endswith(".json"):
-        import os
+        from leafmark.llm.byte_bpe import ByteLevelBpe
 
-        # Each task is one core's work; the tokenizer's own thread pool would only contend.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        code = Tokenizer.from_file(path)
-
-        def encode(texts: list[str]) -> Iterator[list[int]]:
-            # A few texts at a time: the library's encodings carry far more than their ids.
-            for at in range(0, len(texts), ENCODE_TEXTS):
-                yield from (e.ids for e in code.encode_batch_fast(texts[at:at + ENCODE_TEXTS], add_special_tokens=False))
-        return encode
+        code = ByteLevelBpe(path, special=True)
+        return lambda texts: (code.encode(t) for t in texts)
     import public_tokenizers
     import tiktoken
 
