@@ -314,7 +314,7 @@ def match_rows(nodes: DataFrame, selectors: DataFrame, values: bool = True) -> D
     has = (F.col("terminal") == "") | reads_text | F.map_contains_key("attrs", name)
     holds = (F.size("conds") == 0) | _holds(F.col("conds"), F.col("attrs"))
     matches = fitting.join(base, ["page_id", "_way"]).filter((F.col("trail") == F.col("_trail")) & of_kind & has & holds)
-    matches = _text_tests(matches, nodes)
+    matches = _text_tests(matches, compiled, nodes)
     if not values:
         return matches.select("page_id", "xpath", "node_id", "anc", "whole")
     matches = matches.select(
@@ -326,20 +326,17 @@ def match_rows(nodes: DataFrame, selectors: DataFrame, values: bool = True) -> D
     )
 
 
-def _text_tests(matches: DataFrame, nodes: DataFrame) -> DataFrame:
+def _text_tests(matches: DataFrame, compiled: DataFrame, nodes: DataFrame) -> DataFrame:
     """Keep matches whose text() tests all hold: each is met by a child text node equal to its
-    value. Only matches that have such tests meet the text rows, on (page_id, parent, text);
-    the node table is laid out by page, so its side is not moved."""
+    value. Which elements meet them follows from the selectors' tests and the text rows alone
+    (on page and text), so the matches are read once and meet that small table in one left join."""
     tests = F.filter("conds", lambda c: c["op"] == "text")
-    plain = matches.filter(F.size(tests) == 0)
-    tested = matches.filter(F.size(tests) > 0)
-    asked = tested.select("page_id", "xpath", "node_id", F.posexplode(tests).alias("_i", "_c")).select(
-        "page_id", "xpath", "node_id", "_i", F.col("_c.value").alias("_tv"))
+    asked = compiled.filter(F.size(tests) > 0).select("page_id", "xpath", F.posexplode(tests).alias("_i", "_c")).select(
+        "page_id", "xpath", "_i", F.col("_c.value").alias("_tv"))
     texts = nodes.filter(F.col("kind") == "text").select("page_id", F.col("parent_id").alias("node_id"), F.col("text").alias("_tv"))
-    met = asked.join(texts, ["page_id", "node_id", "_tv"], "left_semi").groupBy("page_id", "xpath", "node_id").agg(
-        F.countDistinct("_i").alias("_met"))
-    kept = tested.join(met, ["page_id", "xpath", "node_id"]).filter(F.col("_met") == F.size(tests)).drop("_met")
-    return plain.unionByName(kept)
+    met = asked.join(texts, ["page_id", "_tv"]).groupBy("page_id", "xpath", "node_id").agg(F.countDistinct("_i").alias("_met"))
+    return matches.join(met, ["page_id", "xpath", "node_id"], "left").filter(
+        (F.size(tests) == 0) | (F.col("_met") == F.size(tests))).drop("_met")
 
 
 def eval_selector_table(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
