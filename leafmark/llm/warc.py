@@ -176,13 +176,14 @@ def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0,
 
 
 _RECORDS = T.StructType([
+    T.StructField("record_id", T.StringType()), T.StructField("refers_id", T.StringType()),
     T.StructField("file", T.StringType()), T.StructField("record_no", T.LongType()), T.StructField("chunk_no", T.LongType()),
     T.StructField("last", T.BooleanType()), T.StructField("record_type", T.StringType()), T.StructField("page_id", T.LongType()),
     T.StructField("refers_to", T.LongType()), T.StructField("url", T.StringType()), T.StructField("data", T.BinaryType()),
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
 ])
 _RECORDS_ARROW = pa.schema([
-    ("file", pa.string()), ("record_no", pa.int64()), ("chunk_no", pa.int64()), ("last", pa.bool_()), ("record_type", pa.string()),
+    ("record_id", pa.string()), ("refers_id", pa.string()), ("file", pa.string()), ("record_no", pa.int64()), ("chunk_no", pa.int64()), ("last", pa.bool_()), ("record_type", pa.string()),
     ("page_id", pa.int64()), ("refers_to", pa.int64()), ("url", pa.string()), ("data", pa.binary()), ("payload_bytes", pa.int64()),
     ("payload_digest", pa.string()),
 ])
@@ -262,7 +263,7 @@ def _batch(name, record_no, rows, fields, size, sha, last) -> pa.RecordBatch:
     refers = fields.get("warc-refers-to-page-id")
     n = len(rows)
     return pa.RecordBatch.from_pydict({
-        "file": [name] * n, "record_no": [record_no] * n, "chunk_no": [k for k, _ in rows], "last": [last] * n,
+        "record_id": [fields.get("warc-record-id")] * n, "refers_id": [fields.get("warc-refers-to")] * n, "file": [name] * n, "record_no": [record_no] * n, "chunk_no": [k for k, _ in rows], "last": [last] * n,
         "record_type": [fields.get("warc-type")] * n, "page_id": [None if page is None else int(page)] * n,
         "refers_to": [None if refers is None else int(refers)] * n, "url": [fields.get("warc-target-uri")] * n,
         "data": [d for _, d in rows], "payload_bytes": [size] * n, "payload_digest": [sha] * n,
@@ -271,16 +272,41 @@ def _batch(name, record_no, rows, fields, size, sha, last) -> pa.RecordBatch:
 
 def read_warc(index: DataFrame, chunks: bool = True) -> DataFrame:
     """The record table of the archives an index names: one row per chunk of every record
-    (file, record_no, chunk_no, last, record_type, page_id, refers_to, url, data, payload_bytes,
-    payload_digest; the last two on the last row of a record). One task per file."""
+    (record_id, refers_id, file, record_no, chunk_no, last, record_type, page_id, refers_to, url,
+    data, payload_bytes, payload_digest; the last two on the last row of a record). One task per
+    file."""
     files = index.where(F.col("records") > 0).select("file")
     count = max(1, files.count())
     return files.repartition(count, "file").mapInArrow(_reader(chunks), _RECORDS)
 
 
+def resolve_records(chunks: DataFrame) -> DataFrame:
+    """One row per record of a chunked record table, with the full payload's length and digest.
+
+    A response's length is that of its chunks. A revisit carries no payload: the record it refers
+    to is looked up by its id, and length, digest and page_id are those read there, whatever the
+    revisit's own header says (null if the archives lack that record). Revisits are salted by the
+    counted size of their group, as in ``decide_records``."""
+    of_last = {c: F.max(F.when(F.col("last"), F.col(c))).alias(c) for c in (
+        "record_id", "refers_id", "record_type", "page_id", "url", "payload_digest")}
+    records = staged(chunks.groupBy("file", "record_no").agg(
+        *of_last.values(), F.sum(F.octet_length("data")).cast("long").alias("payload_bytes")), "warc-records")
+    revisit = F.col("record_type") == "revisit"
+    read = records.where(~revisit)
+    groups = records.where(revisit).groupBy("refers_id").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    groups = staged(groups, "warc-referred")
+    hot = groups.where(F.col("salts") > 1)
+    salted = records.where(revisit).select("record_id", "refers_id", "page_id", "record_type", "url", "file", "record_no").join(
+        F.broadcast(hot), "refers_id", "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    payloads = read.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
+    spread = groups.join(payloads, "refers_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file", "record_no"]
+    return read.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(
+        salted.join(spread, ["refers_id", "salt"], "left").select(*columns))
+
+
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the pages as WARC and read them back: one row per record, page_id, payload_bytes,
-    payload_digest, record_type, refers_to (and url, file, record_no)."""
-    records = read_warc(write_warc(pages, min_bytes=min_bytes), chunks=False)
-    return records.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-                                        "url", "file", "record_no")
+    """Write the pages as WARC, read them back as the chunked record table and resolve it: one row
+    per record, page_id, payload_bytes, payload_digest, record_type, refers_to (and url, file,
+    record_no)."""
+    return resolve_records(read_warc(write_warc(pages, min_bytes=min_bytes)))

@@ -5,7 +5,7 @@ from base64 import b32encode
 
 from pyspark.sql import functions as F, types as T
 
-from leafmark.llm.warc import archive_pages, read_warc, write_warc
+from leafmark.llm.warc import _RECORDS, archive_pages, read_warc, resolve_records, write_warc
 
 SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
                        T.StructField("html", T.StringType())])
@@ -72,3 +72,18 @@ def test_files_are_plain_warc(spark):
 
 def test_empty_table(spark):
     assert archive_pages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_records_come_from_their_chunks(spark):
+    """Lengths are those of the chunks read; a revisit takes the payload of the record it names."""
+    rows = [
+        ("<r1>", None, "f", 0, 0, False, "response", 7, None, "u", b"abc", None, None),
+        ("<r1>", None, "f", 0, 1, True, "response", 7, None, "u", b"de", 99, "READ"),
+        ("<r2>", "<r1>", "g", 0, 0, True, "revisit", 3, 5, "v", b"", 42, "CLAIMED"),
+        ("<r3>", "<gone>", "g", 1, 0, True, "revisit", 4, 6, None, b"", 42, "CLAIMED"),
+    ]
+    got = resolve_records(spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in r) for r in rows], _RECORDS))
+    found = got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, found)) == [
+        (3, 5, "READ", "revisit", 7), (4, None, None, "revisit", None), (7, 5, "READ", "response", None),
+    ]
