@@ -289,8 +289,10 @@ def resolve_records(chunks: DataFrame) -> DataFrame:
     counted size of their group, as in ``decide_records``."""
     of_last = {c: F.max(F.when(F.col("last"), F.col(c))).alias(c) for c in (
         "record_id", "refers_id", "record_type", "page_id", "url", "payload_digest")}
-    records = staged(chunks.groupBy("file", "record_no").agg(
-        *of_last.values(), F.sum(F.octet_length("data")).cast("long").alias("payload_bytes")), "warc-records")
+    # The bytes are counted before the rows are sorted and grouped, so that they are not carried along.
+    counted = chunks.select("file", "record_no", "last", *of_last, F.octet_length("data").cast("long").alias("n"))
+    records = staged(counted.groupBy("file", "record_no").agg(
+        *of_last.values(), F.sum("n").alias("payload_bytes")), "warc-records")
     revisit = F.col("record_type") == "revisit"
     read = records.where(~revisit)
     groups = records.where(revisit).groupBy("refers_id").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
