@@ -109,35 +109,33 @@ def group_labels(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.n
         if np.array_equal(q, p):
             break
         p = q
-    terminals, label = np.unique(p, return_inverse=True)
-    return label[:na], label[na:], len(terminals)
+    # Terminals point to themselves; counted from the left they number the groups.
+    number = np.cumsum(p == np.arange(na + nb)) - 1
+    label = number[p]
+    return label[:na], label[na:], int(number[-1]) + 1
 
 
-_DECIMAL = np.zeros(0, dtype=object)
+_SPELLED: dict[str, np.ndarray] = {}
 
 
-def _decimal(n: int) -> np.ndarray:
-    """Decimal spellings of 0..n-1 (at least), kept per worker."""
-    global _DECIMAL
-    if len(_DECIMAL) < n:
-        _DECIMAL = np.array([str(i) for i in range(max(n, 65536))], dtype=object)
-    return _DECIMAL
+def _spelled(n: int, sep: str) -> np.ndarray:
+    """Decimal spellings of 0..n-1 (at least), each followed by ``sep``, kept per worker."""
+    if len(_SPELLED.get(sep, ())) < n:
+        _SPELLED[sep] = np.array([f"{i}{sep}" for i in range(max(n, 65536))], dtype=object)
+    return _SPELLED[sep]
 
 
 def _groups_text(a_ids: np.ndarray, b_ids: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3`` built as one interleaved array of ids and separators."""
-    na, nb = len(a_ids), len(b_ids)
-    out = np.empty(2 * (na + nb), dtype=object)
-    place_a = np.arange(na) + cut_b[ga]
-    place_b = np.arange(nb) + cut_a[gb + 1]
-    out[2 * place_a] = _decimal(len(a_ids) and int(a_ids.max()) + 1)[a_ids]
-    out[2 * place_b] = _decimal(len(b_ids) and int(b_ids.max()) + 1)[b_ids]
-    sep_a = np.where(np.arange(na) == cut_a[ga + 1] - 1, "|", ",")
-    sep_b = np.where(np.arange(nb) == cut_b[gb + 1] - 1, ";", ",")
-    out[2 * place_a + 1] = sep_a
-    out[2 * place_b + 1] = sep_b
-    out[-1] = ""
-    return "".join(out.tolist())
+    """``a1,a2|b1;a3|b2,b3`` built as one interleaved array of ids with their separators."""
+    out = np.empty(len(a_ids) + len(b_ids), dtype=object)
+    for ids, place, last, end in (
+        (a_ids, np.arange(len(a_ids)) + cut_b[ga], cut_a[1:] - 1, "|"),
+        (b_ids, np.arange(len(b_ids)) + cut_a[gb + 1], cut_b[1:] - 1, ";"),
+    ):
+        n = int(ids.max()) + 1
+        out[place] = _spelled(n, ",")[ids]
+        out[place[last]] = _spelled(n, end)[ids[last]]
+    return "".join(out.tolist())[:-1]
 
 
 def align_one(text: str, model, a_ids=None, b_ids=None) -> tuple:
@@ -153,9 +151,8 @@ def align_one(text: str, model, a_ids=None, b_ids=None) -> tuple:
     if b"".join(map(a_bytes.__getitem__, a_ids.tolist())) != want or b"".join(map(b_bytes.__getitem__, b_ids.tolist())) != want:
         return empty
     ga, gb, n_groups = group_labels(a_lens[a_ids], b_lens[b_ids])
-    cut_a = np.searchsorted(ga, np.arange(n_groups + 1))
-    cut_b = np.searchsorted(gb, np.arange(n_groups + 1))
-    size_a, size_b = np.diff(cut_a), np.diff(cut_b)
+    size_a, size_b = np.bincount(ga, minlength=n_groups), np.bincount(gb, minlength=n_groups)
+    cut_a, cut_b = np.concatenate([[0], np.cumsum(size_a)]), np.concatenate([[0], np.cumsum(size_b)])
     groups = _groups_text(a_ids, b_ids, cut_a, cut_b, ga, gb)
     # Linked pairs of the document with their multiplicity. Small groups: every occurrence pair,
     # vectorised; large groups (long runs without a common end): distinct ids of each side with
@@ -165,8 +162,12 @@ def align_one(text: str, model, a_ids=None, b_ids=None) -> tuple:
     rep = np.repeat(np.flatnonzero(small), prod[small])
     start = np.repeat(np.cumsum(prod[small]) - prod[small], prod[small])
     within = np.arange(len(rep)) - start
-    keys = [a_ids[cut_a[rep] + within // size_b[rep]] * PAIR_BASE + b_ids[cut_b[rep] + within % size_b[rep]]]
-    mults = [np.ones(len(rep), np.int64)]
+    row, col = np.divmod(within, size_b[rep])
+    small_keys = (a_ids[cut_a[rep] + row] * PAIR_BASE + b_ids[cut_b[rep] + col]).astype(np.int32)
+    small_keys, small_mult = np.unique(small_keys, return_counts=True)
+    if small.all():
+        return (len(a_ids), len(b_ids), n_groups, int(prod.sum()), groups, small_keys, small_mult)
+    keys, mults = [small_keys], [small_mult]
     for g in np.flatnonzero(~small):
         ua, ca = np.unique(a_ids[cut_a[g]:cut_a[g + 1]], return_counts=True)
         ub, cb = np.unique(b_ids[cut_b[g]:cut_b[g + 1]], return_counts=True)

@@ -3,12 +3,13 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leafmark.llm.alignment import alignment_report, byte_level_table, group_labels, piece_bytes
+from leafmark.llm.alignment import align_one, alignment_report, byte_level_table, group_labels, load, piece_bytes
 
 A = public_tokenizers.path("byte_bpe_50k.json")
 B = public_tokenizers.path("piece_bpe_32k.model")
@@ -93,3 +94,11 @@ def test_pointer_jumping_on_lengths():
 def test_empty_table(spark, docs):
     empty = docs([]).limit(0)
     assert alignment_report(empty, A, B).count() == 0
+
+
+def test_pair_keys_are_formed_as_32_bit_numbers():
+    """Sorting them is most of a document's work; wide keys with an inverse cost several times as much."""
+    model = load(A, B)
+    small, large = align_one("the cat sat on the mat, the end.", model), align_one("abc" + "Zq9" * 400, model)
+    assert small[5].dtype == np.int32 and (np.diff(small[5]) > 0).all()
+    assert all(int(r[6].sum()) == r[3] for r in (small, large))
