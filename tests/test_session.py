@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from leafmark import session
 from leafmark.operators.selectors import compile_selectors
 from leafmark.session import stage, tune
+from leafmark.sources.html_tree import shred_html, write_nodes
 
 
 def _plan(df, capsys):
@@ -27,3 +29,22 @@ def test_selectors_are_compiled_once(spark, capsys):
     assert "regexp_extract" not in _plan(done.union(done), capsys)
     found = {r.page_id: r.problem for r in done.collect()}
     assert found[1] is None and found[2] is None and found[3] == "Invalid expression" and found[4].startswith("Invalid")
+
+
+def test_buckets_follow_the_size_of_the_html(spark, monkeypatch):
+    """A fixed number of buckets makes tasks, and what their sorts spill, grow with the input."""
+    assert session.bucket_count(spark) == 8
+    assert session.bucket_count(spark, 100 * session.BUCKET_BYTES) == 100
+    monkeypatch.setattr(session, "BUCKET_BYTES", 50)
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("<p class='x'>a<b>c</b></p>").alias("html"))
+    written = write_nodes(pages)
+    assert len({f.rsplit("_", 1)[1] for f in written.inputFiles()}) > 8
+    assert sorted(map(str, written.collect())) == sorted(map(str, shred_html(pages).collect()))
+
+
+def test_rows_are_not_sorted_to_be_written_in_buckets(spark):
+    """Two rows of a bucket keep the order they come in."""
+    rows = spark.createDataFrame([(1, 3), (1, 2), (1, 1)], "page_id long, node_id int").coalesce(1).repartition(1, "page_id")
+    written = session.stage_by_page(rows.sortWithinPartitions(F.desc("node_id")), "order", 1)
+    assert [r.node_id for r in written.collect()] == [3, 2, 1]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
