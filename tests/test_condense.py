@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from checks import inputs as I, queries as Q
 from leafmark.functions.similarity import edit_distance_ratio, is_near
 from leafmark.functions.text import text_snippet
 from leafmark.model import IE_VALUES_DDL
@@ -70,3 +71,16 @@ def test_snippet(spark):
     df = spark.createDataFrame([(text, "LINE 5", 4), (text, "line 0", 1), (text, "none", 4), ("a\r\nb\x0bc", "B", 1)], "t string, q string, n int")
     got = [df.filter(F.col("q") == q).select(text_snippet(F.col("t"), F.col("q"), n)).first()[0] for q, n in (("LINE 5", 4), ("line 0", 1), ("none", 4), ("B", 1))]
     assert got == ["\n".join(f"line {i}" for i in range(1, 10)), "line 0\nline 1", "", "a\nb\nc"]
+
+
+def test_values_of_the_lists_are_read_once_for_targets(spark, tmp_path, monkeypatch):
+    """The matches and what is missing from them start from one written table of targets."""
+    spark.sql(
+        "SELECT id AS o_orderkey, id AS o_custkey, element_at(array('O', 'F', 'P'), cast(id % 3 AS int) + 1) AS o_orderstatus, 1.0D AS o_totalprice, "
+        "timestamp'1995-02-03' AS o_orderdate, if(id % 2 = 0, '1-URGENT', '5-LOW') AS o_orderpriority FROM range(12)"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    calls, values = [], I.list_values
+    monkeypatch.setattr(I, "list_values", lambda *a: calls.append(a) or values(*a))
+    missing = Q.missing_targets(spark, str(tmp_path)).collect()
+    assert {(r.page_id, r.target) for r in missing} == {(p, "no such text") for p in (1, 2, 3)}
+    assert len(calls) == 1
