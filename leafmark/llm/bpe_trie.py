@@ -5,6 +5,8 @@ order each word continues the path of the one before it from where the two part.
 has the last token of the encoding of its prefix, which follows from the nodes above it: it is
 the one vocabulary token that ends here and stays separate from the last token before it. So a
 prefix that many words share is encoded once, and a word's tokens are read back up its path.
+Every node also has the state of a matcher of all vocabulary tokens (Aho-Corasick), which names
+the longest token that ends here; shorter ones follow from token to token, longest first.
 
 Defined results: null text counts as empty and has no tokens; the special token's text is that
 token wherever it stands; very long words cost time in proportion to their length; an empty
@@ -35,7 +37,6 @@ LATIN = "A-Za-zªºÀ-ÖØ-öø-ſ"
 PLAIN_WORDS = re.compile(rf"""'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]++| ?[0-9]++| ?[^\t-\r {LATIN}0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]++""")
 #: Distinct words whose encodings a worker keeps, and texts whose new words form one trie.
 KEPT_WORDS, TEXTS = 500_000, 256
-SHORT = (2, 1)
 OUT = "doc_id bigint, ids array<int>, decoded string"
 
 
@@ -69,19 +70,47 @@ class BpeTrie:
         # A token that merging its own bytes does not give back is never in an encoding.
         self.sound = {t: b for b, t in self.id_of.items() if len(b) == 1 or self._merge(b) == [t]}
         self.length_of = {t: len(b) for t, b in self.sound.items()}
-        # Lengths of the tokens that end in the same three bytes; of other tokens, up to two.
-        sizes: dict[bytes, set[int]] = {}
-        for token in self.sound.values():
-            if len(token) >= 3:
-                sizes.setdefault(token[-3:], {1, 2}).add(len(token))
-        self.sizes_of = {end: tuple(sorted(s, reverse=True)) for end, s in sizes.items()}
-        self.token_of = {b: t for t, b in self.sound.items()}
+        self._match_tokens()
         self.reset()
 
     def reset(self) -> None:
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}                           # left << 32 | right
         self.words = {s: (1, str(i), s.encode("utf-8"), array("i", [i]).tobytes()) for s, i in self.special.items()}
 
+    def _match_tokens(self) -> None:
+        """The matcher: ``step`` (state << 8 | byte -> state), ``fall`` (the state of the longest
+        proper suffix), ``longest`` token that ends in a state, and the next ``shorter`` token."""
+        step: dict[int, int] = {}
+        fall, longest, levels = [0], [-1], [[0]]
+        for token, word in self.sound.items():
+            state = 0
+            for depth, byte in enumerate(word, 1):
+                following = step.get(state << 8 | byte)
+                if following is None:
+                    following = step[state << 8 | byte] = len(fall)
+                    fall.append(state << 8 | byte)
+                    longest.append(-1)
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append(following)
+                state = following
+            longest[state] = token
+        self.shorter: dict[int, int] = {}
+        # Until its turn, ``fall`` of a state holds how it is reached; shallower states are done.
+        for level in levels[1:]:
+            for state in level:
+                before, byte = fall[state] >> 8, fall[state] & 255
+                at = None
+                while before and at is None:
+                    before = fall[before]
+                    at = step.get(before << 8 | byte)
+                fall[state] = at or 0
+                if longest[state] < 0:
+                    longest[state] = longest[fall[state]]
+                else:
+                    self.shorter[longest[state]] = longest[fall[state]]
+        self.step, self.fall, self.longest = step, fall, longest
+
     def _merge(self, word: bytes) -> list[int]:
         """Plain merging, lowest rank first and leftmost among equals; for short byte strings."""
         ids = [self.id_of[word[k:k + 1]] for k in range(len(word))]
@@ -98,7 +127,7 @@ class BpeTrie:
         Their merges are undone from the last one back; the two stay apart unless a merge over
         the seam would have come before the one just undone. Of equal ranks the left one is first.
         """
-        known = self.apart.get((left, right))
+        known = self.apart.get(left << 32 | right)
         if known is None:
             a, b, limit = left, right, len(self.rank)
             while True:
@@ -114,32 +143,38 @@ class BpeTrie:
                     limit, a = of_a[0], of_a[2]
                 else:
                     limit, b = of_b[0] + 1, of_b[1]
-            self.apart[left, right] = known
+            self.apart[left << 32 | right] = known
         return known
 
     def encode_words(self, words: list[bytes]) -> Iterator[list[int]]:
-        """Tokens of each of the sorted words; ``last`` has the states along the current path."""
-        token_of, length_of, known, sizes_of = self.token_of, self.length_of, self.apart, self.sizes_of
-        before, last = b"", [-1]
+        """Tokens of each of the sorted words; ``last`` and ``states`` go along the current path."""
+        length_of, known, shorter = self.length_of, self.apart, self.shorter
+        step, fall, longest = self.step.get, self.fall, self.longest
+        before, last, states = b"", [-1], [0]
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1:]
+            del last[shared + 1:], states[shared + 1:]
+            state = states[shared]
             for end in range(shared + 1, len(word) + 1):
-                for size in sizes_of.get(word[max(end - 3, 0):end], SHORT):
-                    begin = end - size
-                    if begin < 0:
-                        continue
-                    token = token_of.get(word[begin:end])
-                    if token is not None:
-                        if begin == 0:
-                            break
-                        pair = (last[begin], token)
-                        apart = known.get(pair)
-                        if apart or (apart is None and self._stay_apart(*pair)):
-                            break
+                byte = word[end - 1]
+                following = step(state << 8 | byte)
+                while following is None and state:
+                    state = fall[state]
+                    following = step(state << 8 | byte)
+                state = following or 0
+                token = longest[state]
+                while True:
+                    begin = end - length_of[token]
+                    if begin == 0:
+                        break
+                    apart = known.get(last[begin] << 32 | token)
+                    if apart or (apart is None and self._stay_apart(last[begin], token)):
+                        break
+                    token = shorter[token]
                 last.append(token)
+                states.append(state)
             before, end, ids = word, len(word), []
             while end:
                 ids.append(last[end])
@@ -156,12 +191,12 @@ class BpeTrie:
         if len(self.words) + len(new) > KEPT_WORDS:
             self.reset()
             new = words.difference(self.words)
-        ordered = sorted((w.encode("utf-8"), w) for w in new)
-        for (_, word), ids in zip(ordered, self.encode_words([b for b, _ in ordered])):
+        ordered = sorted(new)                                      # the order of their UTF-8 bytes
+        for word, ids in zip(ordered, self.encode_words([w.encode("utf-8") for w in ordered])):
             self.words[word] = (len(ids), ",".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes())
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(self.bytes_of[i] for i in ids)
+        return b"".join([self.bytes_of[i] for i in ids])
 
 
 @lru_cache(maxsize=1)
@@ -192,10 +227,10 @@ def _encoded(path: str):
                 known = trie.words
                 ends, packed, decoded = [0], [], []
                 for words in split:
-                    counts, _, raw, ids = zip(*map(known.__getitem__, words)) if words else ((), (), (), ())
-                    ends.append(ends[-1] + sum(counts))
-                    packed.append(b"".join(ids))
-                    decoded.append(b"".join(raw).decode("utf-8", errors="replace"))
+                    found = [known[w] for w in words]
+                    packed.append(b"".join([ids for _, _, _, ids in found]))
+                    ends.append(ends[-1] + len(packed[-1]) // 4)
+                    decoded.append(b"".join([raw for _, _, raw, _ in found]).decode("utf-8", errors="replace"))
                 flat = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(decoded, pa.string()),

@@ -54,6 +54,32 @@ def test_bpe_store_begins_anew(monkeypatch):
         assert trie.words[w][1] == ",".join(map(str, want[w]))
 
 
+def test_bpe_matcher_gives_the_tokens_that_end_longest_first():
+    """One step a byte finds all candidates; no length is tried that no token has."""
+    trie = bpe_trie.BpeTrie(VOCABULARY)
+    sound = set(trie.sound.values())
+    for text in [" understandings", "é日本", "xq7zk" * 3, " " * 9 + "a", "\x00\xff", "internationalization", *random_texts(20)]:
+        word, state = text.encode(), 0
+        for end in range(1, len(word) + 1):
+            while state and (state << 8 | word[end - 1]) not in trie.step:
+                state = trie.fall[state]
+            state = trie.step[state << 8 | word[end - 1]]
+            found, token = [], trie.longest[state]
+            while token >= 0:
+                found.append(trie.sound[token])
+                token = trie.shorter[token]
+            assert found == [word[k:end] for k in range(end) if word[k:end] in sound]
+
+
+def test_bpe_words_that_share_prefixes_are_exact():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    trie = bpe_trie.BpeTrie(VOCABULARY)
+    draw = random.Random(6)
+    words = sorted({"".join(draw.choice("aeinrst") for _ in range(draw.randint(1, 40))) for _ in range(3000)})
+    for word, ids in zip(words, trie.encode_words([w.encode() for w in words])):
+        assert ids == tokenizer.encode(word, add_special_tokens=False).ids
+
+
 def test_unigram_counts_are_exact(docs):
     tokenizer = Tokenizer(models.Unigram(token_counts.vocabulary(PIECES), unk_id=0, byte_fallback=True))
     tokenizer.pre_tokenizer = pre_tokenizers.Metaspace()
