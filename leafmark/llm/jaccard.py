@@ -365,16 +365,24 @@ def _plausible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
 
     Up to the end of the list part that ends first, all common shingles are among the first
     ones of both; beyond it, no more than what that set has left can be common. The sketches
-    must not differ too much either.
+    must not differ too much either; they are compared first, from narrow rows, so that first
+    shingles travel only for pairs that pass, and only those of the sets in such pairs.
     """
+    kept = pairs.columns
     for end in ("a", "b"):
-        pairs = pairs.join(firsts.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("prefix").alias(f"first_{end}"),
+        pairs = pairs.join(firsts.select(F.col("node").alias(end), F.col("class_no").alias(f"class_{end}"), F.col("n").alias(f"n_{end}"),
                                          F.col("sketch").alias(f"sketch_{end}")), end)
+    near = staged(pairs.filter(_sketches_fit("n_a", "n_b", "sketch_a", "sketch_b", percent)).drop("sketch_a", "sketch_b"), "near-pairs")
+    wanted = staged(near.select(F.explode(F.array("class_a", "class_b")).alias("class_no")).distinct(), "wanted")
+    if wanted.count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    lists = firsts.join(wanted, "class_no", "leftsemi")
+    for end in ("a", "b"):
+        near = near.join(lists.select(F.col("class_no").alias(f"class_{end}"), F.col("prefix").alias(f"first_{end}")), f"class_{end}")
     left = F.greatest(*[F.col(f"n_{x}") - F.size(f"first_{x}") for x in "ab"])
     least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    near = pairs.filter(_sketches_fit("n_a", "n_b", "sketch_a", "sketch_b", percent))
-    return near.withColumn("common", F.size(F.array_intersect("first_a", "first_b"))).filter(F.col("common") + left >= least).drop(
-        *[f"{c}_{end}" for c in ("n", "first", "sketch") for end in "ab"]
+    return near.withColumn("common", F.size(F.array_intersect("first_a", "first_b"))).filter(F.col("common") + left >= least).select(
+        *kept, "common"
     )
 
 
@@ -533,7 +541,7 @@ def _connected(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
         read.filter("b IS NULL").select("token", "n", "pos", F.col("a").alias("node"))
         .unionAll(entries.filter("hot").select("token", "n", "pos", "node")), "long-lists",
     )
-    firsts = classes.select("node", "n", F.col("set.prefix").alias("prefix"), F.col("set.sketch").alias("sketch"))
+    firsts = classes.select("class_no", "node", "n", F.col("set.prefix").alias("prefix"), F.col("set.sketch").alias("sketch"))
     met = read.filter("b IS NOT NULL").select("a", "b").distinct().withColumn("pivot", F.lit(False)).unionAll(
         _pivot_pairs(long, percent).withColumn("pivot", F.lit(True))
     )

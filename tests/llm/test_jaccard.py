@@ -96,6 +96,47 @@ def check_links(docs, rows, width, percent):
     return links
 
 
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_first_shingles_travel_only_for_pairs_whose_sketches_fit(spark, monkeypatch, sent):
+    """Also where an id has several sets: each pair of sets is judged by its own rows."""
+    draw = random.Random(9)
+
+    def sketch(tokens):
+        bits = np.bincount([t % 256 for t in tokens], minlength=256) & 1
+        return np.packbits(bits).view(np.int64).tolist()
+
+    own = {}
+    for k in range(60):
+        tokens = sorted(draw.sample(range(100_000), 40)) if k % 3 == 0 else sorted({*own[k - k % 3][1][1:], 200_000 + k})
+        own[k] = (k if k != 58 else 10, tokens, sketch(tokens))          # id 10 has two sets
+    firsts = spark.createDataFrame([(k, node, len(t), t[:9], s) for k, (node, t, s) in own.items()],
+                                   "class_no bigint, node bigint, n bigint, prefix array<bigint>, sketch array<bigint>")
+    pairs = spark.createDataFrame([(a, b, True) for a in range(58) for b in range(a)], "a bigint, b bigint, pivot boolean")
+    written = {}
+
+    def staged(df, name):
+        written[name] = df.localCheckpoint()
+        return written[name]
+
+    monkeypatch.setattr(jaccard, "staged", staged)
+    monkeypatch.setattr(jaccard, "SENT_IDS", sent)
+    got = sorted((r.a, r.b, r.pivot, r.common) for r in jaccard._plausible(pairs, firsts, 90).collect())
+    want, near = [], 0
+    for x, s, u in own.values():
+        for y, t, v in own.values():
+            differ = sum(bin((p ^ q) & (1 << 64) - 1).count("1") for p, q in zip(u, v))
+            least = -(-90 * (len(s) + len(t)) // 190)
+            if y < x < 58 and differ <= len(s) + len(t) - 2 * least:
+                near += 1
+                common = len({*s[:9]} & {*t[:9]})
+                if common + max(len(s), len(t)) - 9 >= least:
+                    want.append((x, y, True, common))
+    assert got == sorted(want) and len(want) > 20
+    narrow = written["near-pairs"]
+    assert narrow.count() == near < pairs.count() // 5
+    assert not any(kind.startswith("array") for _, kind in narrow.dtypes)
+
+
 @pytest.mark.parametrize("width, percent, chunk", [(3, 60, 512), (3, 60, 7)])
 def test_every_link(docs, monkeypatch, width, percent, chunk):
     """Links inside components too, also where a component is cut into many chunks."""
