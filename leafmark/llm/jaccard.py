@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from leafmark.llm.common import documents, releasing, small_batches, staged, tasks
 from leafmark.llm.components import connected_components
 from leafmark.llm.shingles import each_text, mix, shingle_set
+from leafmark.session import staging
 
 #: Frequent shingles that the order puts last: at most so many, counted where a stretch of
 #: documents has them so often. They decide only which shingles are listed, never a result.
@@ -388,14 +389,17 @@ def _plausible(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold; b may be frequent, its set then travels."""
-    wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    if wanted.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
-    sets = staged(rows.join(wanted, "doc_id", "leftsemi").mapInArrow(_sets(width), "node bigint, tokens binary"), "sets")
+    with staging() as used:
+        wanted = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+        if wanted.count() <= SENT_IDS:
+            wanted = F.broadcast(wanted)
+        sets = staged(rows.join(wanted, "doc_id", "leftsemi").mapInArrow(_sets(width), "node bigint, tokens binary"), "sets")
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("right"))
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("left"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return staged(both.mapInArrow(_compare(percent), "a bigint, b bigint"), "links").distinct()
+    links = staged(both.mapInArrow(_compare(percent), "a bigint, b bigint"), "links").distinct()
+    used.drop(rows.sparkSession)
+    return links
 
 
 def _size_class(n: Column, percent: int) -> Column:
@@ -510,7 +514,8 @@ def _all_links(rows: DataFrame, classes: DataFrame, width: int, percent: int) ->
         wanted = F.broadcast(wanted)
     sets = rows.join(wanted, "doc_id", "leftsemi").mapInArrow(_signed_sets(width), "node bigint, n bigint, sig_a bigint, sig_b bigint, tokens binary")
     dealt = cut.join(chunks, ["component_id", "s"]).withColumn("c", F.expr("CAST(pmod(xxhash64(class_no), k) AS INT)"))
-    dealt = staged(sets.join(dealt, ["node", "n", "sig_a", "sig_b"]).drop("sig_a", "sig_b"), "chunks")
+    with staging() as used:
+        dealt = staged(sets.join(dealt, ["node", "n", "sig_a", "sig_b"]).drop("sig_a", "sig_b"), "chunks")
     named = "named_struct('s', {}, 'c', {}, 't', {}, 'd', {}, 'right', {})"
     places = ", ".join(f"transform(filter(sequence(0, {k}), x -> x < {k}), x -> {named.format(*block)})" for k, *block in (
         ("k", "s", "least(c, x)", "s", "greatest(c, x)", "IF(x < c, 1, 0)"),
@@ -520,18 +525,26 @@ def _all_links(rows: DataFrame, classes: DataFrame, width: int, percent: int) ->
         "component_id", "at.*", "class_no", "node", "n", "size", "tokens"
     )
     sorted_blocks = blocks.repartition(4 * tasks(rows.sparkSession), *BLOCK).sortWithinPartitions(*BLOCK, "right", "class_no")
-    return staged(sorted_blocks.mapInArrow(_block_links(percent), LINKS), "all-links")
+    links = staged(sorted_blocks.mapInArrow(_block_links(percent), LINKS), "all-links")
+    used.drop(rows.sparkSession)
+    return links
 
 
 def _connected(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows' index, and every class of equal sets with its number, rows, smallest id and component."""
     spark = rows.sparkSession
     frequent, counts = frequent_shingles(rows, width)
-    index = staged(rows.mapInArrow(_indexed(width, percent, frequent, counts >= HOT_SHINGLE), INDEX), "shingle-index")
-    usable = index.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = staged(usable.groupBy("sig_a", "sig_b", "n").agg(F.min_by(F.struct("prefix", "hot", "sketch"), "doc_id").alias("set"),
-                                                               F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size"))
-                     .withColumn("class_no", F.monotonically_increasing_id()), "shingle-sets")
+    there = "n > 0 AND doc_id IS NOT NULL"
+    # Tables with sets or first shingles are dropped once what follows from them is written.
+    with staging() as first_index:
+        whole = staged(rows.mapInArrow(_indexed(width, percent, frequent, counts >= HOT_SHINGLE), INDEX), "shingle-index")
+    with staging() as first_sets:
+        classes = staged(whole.filter(there).groupBy("sig_a", "sig_b", "n").agg(
+            F.min_by(F.struct("prefix", "hot", "sketch"), "doc_id").alias("set"), F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")
+        ).withColumn("class_no", F.monotonically_increasing_id()), "shingle-sets")
+    index = staged(whole.select("doc_id", "n", "sig_a", "sig_b"), "signatures")
+    first_index.drop(spark)
+    usable = index.filter(there)
     entries = classes.select("node", "n", F.posexplode(F.arrays_zip("set.prefix", "set.hot")).alias("pos", "e")).select(
         F.col("e.prefix").alias("token"), "n", F.col("pos").cast("bigint").alias("pos"), "node", F.col("e.hot").alias("hot")
     )
@@ -566,9 +579,11 @@ def _connected(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Da
     components = staged(connected_components(
         second.unionAll(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
     ), "components")
-    return index, staged(classes.select("class_no", "sig_a", "sig_b", "n", "node", "size").join(components, "node", "left").withColumn(
+    found = staged(classes.select("class_no", "sig_a", "sig_b", "n", "node", "size").join(components, "node", "left").withColumn(
         "component_id", F.coalesce("component", "node")
     ).drop("component"), "class-components")
+    first_sets.drop(spark)
+    return index, found
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -10,6 +10,7 @@ from leafmark.llm import jaccard
 from leafmark.llm.components import connected_components
 from leafmark.llm.jaccard import jaccard_components, jaccard_join, keep_one_of_each
 from leafmark.llm.shingles import shingle_set
+from leafmark.session import staging
 
 
 def sets(text, width):
@@ -137,6 +138,15 @@ def test_first_shingles_travel_only_for_pairs_whose_sketches_fit(spark, monkeypa
     assert not any(kind.startswith("array") for _, kind in narrow.dtypes)
 
 
+def test_tables_with_sets_are_dropped_when_used(docs):
+    with staging() as kept:
+        joined = jaccard_join(docs(variants(4, 4, 6)), 3, 90)
+        members = joined.members.count()
+    names = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in kept.paths}
+    assert members == 28 and {"signatures", "class-components", "all-links"} <= names
+    assert not names & {"shingle-index", "shingle-sets", "sets", "chunks"}
+
+
 @pytest.mark.parametrize("width, percent, chunk", [(3, 60, 512), (3, 60, 7)])
 def test_every_link(docs, monkeypatch, width, percent, chunk):
     """Links inside components too, also where a component is cut into many chunks."""
