@@ -1,5 +1,8 @@
 """What the session settings make of tables that shrink to little in files."""
 
+import time
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from leafmark import session
@@ -48,3 +51,33 @@ def test_rows_are_not_sorted_to_be_written_in_buckets(spark):
     written = session.stage_by_page(rows.sortWithinPartitions(F.desc("node_id")), "order", 1)
     assert [r.node_id for r in written.collect()] == [3, 2, 1]
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def _shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {str(f) for top in disk.localDirs() for f in Path(str(top)).rglob("shuffle_*.data")}
+
+
+def test_a_staged_table_leaves_nothing_shuffled(spark):
+    """What a write shuffled is of no use once the table stands; a run of many writes would keep all of it."""
+    rows = spark.range(5000).groupBy((F.col("id") % 7).alias("page_id")).count()
+    before = _shuffle_files(spark)
+    plain, dealt = stage(rows, "plain"), session.stage_by_page(rows.repartition(8, "page_id"), "dealt", 8)
+    until = time.time() + 10
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    assert sorted(plain.collect()) == sorted(dealt.collect()) and plain.count() == 7
+
+
+def test_tables_staged_on_the_way_are_dropped(spark):
+    def made():
+        passing.append(stage(spark.range(3).withColumnRenamed("id", "page_id"), "passing"))
+        return passing[0].filter("page_id > 0")
+
+    passing = []
+    with session.staging() as kept:
+        last = session.stage_last(made, "last")
+    assert last.count() == 2 and len(kept.paths) == 1
+    assert not Path(passing[0].inputFiles()[0].removeprefix("file://")).exists()
+    kept.drop(spark)
