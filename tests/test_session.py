@@ -81,3 +81,19 @@ def test_tables_staged_on_the_way_are_dropped(spark):
     assert last.count() == 2 and len(kept.paths) == 1
     assert not Path(passing[0].inputFiles()[0].removeprefix("file://")).exists()
     kept.drop(spark)
+
+
+def test_tables_made_from_bucketed_ones_meet_without_a_shuffle(spark, capsys):
+    """Shuffled again at every step, the rows of a run would fill the disks several times over."""
+    rows = spark.range(40).select((F.col("id") % 9).alias("page_id"), F.col("id").alias("n"))
+    first = session.stage_by_page(rows.repartition(6, "page_id"), "first", 6)
+    assert (session.page_buckets(rows), session.page_buckets(first.filter("n > 3"))) == (0, 6)
+    sums = stage(first.groupBy("page_id").agg(F.sum("n").alias("s")), "the-sums")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = first.join(sums, "page_id").groupBy("page_id", "s").agg(F.sum("n").alias("t"))
+        assert "Exchange" not in _plan(met, capsys)
+        assert all(r.s == r.t for r in met.collect()) and met.count() == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2m")
+    assert session.page_buckets(stage(first.select("n"), "no-pages")) == 0

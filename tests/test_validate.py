@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from leafmark.functions.similarity import best_window_reaches
 from leafmark.model import ATTEMPTS_DDL
 from leafmark.operators import validate as V
+from leafmark.operators.selectors import match_rows, match_sets
 from tests.fixtures import body, nodes
 
 
@@ -133,3 +134,31 @@ def test_summary_lines(spark):
         ("title", 2, "right value found after 1 iteration"), ("link", 1, "nothing found in 3 iterations"),
         ("link", 1, "only other values found in 2 iterations"),
     }
+
+
+def test_spellings_of_one_set_are_judged_once(spark):
+    n = nodes(spark, body('<div class="r"><a href="/1">One</a></div><div class="r"><a href="/2">Two</a></div><i>x</i>'))
+    forms = ["//a", "//div/a", "//body/div/a", "//div[contains(@class,'r')]/a", "//a/@href", "//div/a/@href", "string(//a)", "//a[@href='/2']", "//i"]
+    rows = spark.createDataFrame([(1, x) for x in forms], "page_id long, xpath string")
+    sets = {frozenset(m.xpath for m in r.members) for r in match_sets(n, rows).collect()}
+    assert sets == {frozenset(forms[:4]), frozenset(forms[4:6]), *(frozenset([x]) for x in forms[6:])}
+    found = {}
+    for r in match_rows(n, rows).collect():
+        found.setdefault(r.xpath, []).append(r.value)
+    assert {x: sorted(v) for x, v in found.items()} == {
+        **dict.fromkeys(forms[:4], ["One", "Two"]), **dict.fromkeys(forms[4:6], ["/1", "/2"]),
+        "string(//a)": ["One", "Two"], "//a[@href='/2']": ["Two"], "//i": ["x"],
+    }
+
+
+def test_much_text_is_compared_as_little_text_is(spark, monkeypatch):
+    n = nodes(spark, body("<i>A quince in a garden</i><i></i><b>nothing like it</b><u>A quince</u><u>in the garden</u>"))
+    cases = [("//i", "a quinc in a garden"), ("//b", "a quinc in a garden"), ("//body/i", "zzz"), ("//i", None), ("string(//i)", "a qince in a garden"),
+             ("string(//u)", "in tge garden"), ("//u", "in tge garden"), ("//em", "x")]
+    sel = spark.createDataFrame([(1, f"f{i}", 1, x) for i, (x, _) in enumerate(cases)], "page_id long, field string, iteration int, xpath string")
+    ie = spark.createDataFrame([(1, f"f{i}", e) for i, (_, e) in enumerate(cases)], "page_id long, field string, value string")
+    few = sorted(V.classify_feedback(n, sel, ie).collect())
+    assert [r.is_correct for r in few] == [True, False, False, False, True, False, True, False]
+    assert [r.match_count for r in few] == [2, 1, 2, 2, 1, 1, 2, 0]
+    monkeypatch.setattr(V, "MOST_OPEN_BYTES", 0)
+    assert sorted(V.classify_feedback(n, sel, ie).collect()) == few
